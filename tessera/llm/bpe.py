@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tessera.llm.common import by_bytes
 
@@ -353,7 +353,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = StructType([docs.schema[c] for c in keep]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, langid, media, warc
+from tessera.llm import bpe, exact_dedup, jaccard, langid, media, mixing, secret_scan, shards, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolved(table(spark, sf_dir, "documents"))
 
@@ -26,15 +30,31 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classified(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), keep=("doc_id",), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_exact_dedup, op4_media_columns, op6_warc, op9_bpe)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_exact_dedup, op4_media_columns, op5_secret_scans, op6_warc, op7_ngram_jaccard, op8_mixing, op9_bpe, op10_toxicity)}
 
 ORACLES = {
     "op3_exact_dedup": """
