@@ -34,6 +34,9 @@ def stream_state(keyed_path: str, df: DataFrame, files_per_batch: int | None = N
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(name, spark.conf.get(name))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # many small stores: no space set aside for each, and changes rather than whole files in the checkpoint
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     out, done = scratch(spark, "dedup-updates"), scratch(spark, "dedup-stream")
     reader = own.readStream.schema(df.schema)
     if files_per_batch:
