@@ -80,7 +80,7 @@ def mismatches(docs: DataFrame, hits: DataFrame, key: str, text: str) -> DataFra
     """(digest, id, bytes) of the hits whose bytes differ from those that the locator names."""
     ids = hits.select("id", "digest", "keep_id").distinct()
     texts = docs.select(F.col(key).cast("long").alias("id"), normalised(text).cast("binary").alias("bytes"))
-    found = texts.join(ids, "id").where(F.sha2("bytes", 256) == F.col("digest"))
+    found = stored(texts.join(ids, "id").where(F.sha2("bytes", 256) == F.col("digest")), "dedup-hits")
     kept = found.where(F.col("id") == F.col("keep_id")).select("digest", F.col("bytes").alias("kept_bytes")).distinct()
     return found.where(F.col("id") != F.col("keep_id")).join(kept, "digest").where(F.col("bytes") != F.col("kept_bytes")).select("digest", "id", "bytes")
 
