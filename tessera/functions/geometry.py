@@ -37,7 +37,8 @@ def is_valid(a: Column) -> Column:
 def unit(a: Column) -> Column:
     """Length 1; null for a vector of zeros."""
     n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    # the norm stands outside of the lambda, or it would be computed for each element
+    return F.when(n > 0, F.zip_with(a, F.array_repeat(n, F.size(a)), lambda x, m: x.cast("double") / m))
 
 
 def cosine(a: Column, b: Column) -> Column:

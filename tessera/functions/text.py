@@ -143,9 +143,9 @@ def hours_minutes_seconds(c: Column) -> Column:
 def byte_size(c: Column) -> Column:
     """1536 as 1.50 KB; null as -."""
     v = c.cast("double")
-    out = F.format_string("%.2f TB", v / 1024.0**4)
+    out = F.format_string("%.2f TB", F.bround(v / 1024.0**4, 2))  # half to even
     for k, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(v < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", v / 1024.0**k)).otherwise(out)
+        out = F.when(v < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", F.bround(v / 1024.0**k, 2))).otherwise(out)
     return F.when(c.isNull(), "-").otherwise(F.when(v < 1024, F.concat(v.cast("long").cast("string"), F.lit(" B"))).otherwise(out))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import retrieval
+from tessera.plans import retrieval, texts, timelines
 
-MODULES = (retrieval,)
+MODULES = (retrieval, texts, timelines)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
