@@ -109,7 +109,7 @@ def k_means(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """A model from a bounded sample of labelled rows."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = labelled.select(key, lang, text).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     order = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.col(key))
     ids = rows.select(key, lang).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE).select(F.col(key).alias("_k"), F.col(lang).alias("_l"))
     sample = rows.join(ids, (F.col(key) == F.col("_k")) & (F.col(lang) == F.col("_l")), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))

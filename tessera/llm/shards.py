@@ -30,7 +30,9 @@ def size_of(text: str) -> Column:
 
 
 def shuffled(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
-    """docs, written in shuffled order, with the columns shard (int) and slot (long)."""
+    """docs, written in shuffled order, with the columns shard (int) and slot (long), which replace columns
+    of these names."""
+    docs = docs.drop("shard", "slot")
     total, rows = docs.agg(F.sum(size_of(text)), F.count(F.lit(1))).first()
     buckets = max(1, math.ceil((total or 0) / BUCKET_BYTES))
     scattered = docs.select(F.pmod(F.xxhash64(F.lit(seed), key, text), F.lit(buckets)).alias("_bucket"), F.struct(key, *[c for c in docs.columns if c != key]).alias("_row"))
