@@ -7,8 +7,6 @@ streams a video's rows in order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -76,29 +74,28 @@ def merged_by_text(obs: DataFrame, similarity: float = 0.9, gap: float = 1.0) ->
     start_sec, end_sec, description, anomaly_flag, anomaly_confidence, anomaly_notes); rows of a video are
     ordered by start and position."""
 
-    def fold(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            out: list[dict] = []
-            for i, r in enumerate(pdf.sort_values(["start_sec", "pos"], kind="stable").to_dict("records")):
-                words = set(r.pop("terms"))
-                now = out[-1] if out else None
-                if now is not None:
-                    small = min(len(now["terms"]), len(words))
-                    alike = len(now["terms"] & words) / small if small else 0.0
-                    if r["start_sec"] - now["end_sec"] <= gap and alike >= similarity:
-                        now["end_sec"] = r["end_sec"]
-                        now["anomaly_flag"] |= r["anomaly_flag"]
-                        now["anomaly_confidence"] = max(now["anomaly_confidence"], r["anomaly_confidence"])
-                        now["anomaly_notes"] = list(dict.fromkeys([*now["anomaly_notes"], *r["anomaly_notes"]]))[:4]
-                        now["merged_from"].append(i)
-                        continue
-                out.append({**r, "anomaly_notes": list(r["anomaly_notes"]), "terms": words, "merged_from": [i]})
-            yield pd.DataFrame(out)[names]
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[dict] = []
+        for i, r in enumerate(pdf.sort_values(["start_sec", "pos"], kind="stable").to_dict("records")):
+            words = set(r.pop("terms"))
+            now = out[-1] if out else None
+            if now is not None:
+                small = min(len(now["terms"]), len(words))
+                alike = len(now["terms"] & words) / small if small else 0.0
+                if r["start_sec"] - now["end_sec"] <= gap and alike >= similarity:
+                    now["end_sec"] = r["end_sec"]
+                    now["anomaly_flag"] |= r["anomaly_flag"]
+                    now["anomaly_confidence"] = max(now["anomaly_confidence"], r["anomaly_confidence"])
+                    now["anomaly_notes"] = list(dict.fromkeys([*now["anomaly_notes"], *r["anomaly_notes"]]))[:4]
+                    now["merged_from"].append(i)
+                    continue
+            out.append({**r, "anomaly_notes": list(r["anomaly_notes"]), "terms": words, "merged_from": [i]})
+        return pd.DataFrame(out)[names]
 
     names = ["video_id", "start_sec", "end_sec", "description", "anomaly_flag", "anomaly_confidence", "anomaly_notes", "merged_from"]
     rows = obs.withColumn("terms", text.description_terms(F.col("description"))).withColumn("description", text.strip_prefix(F.col("description")))
     kind = f"video_id {obs.schema['video_id'].dataType.simpleString()}, start_sec double, end_sec double, description string, anomaly_flag boolean, anomaly_confidence double, anomaly_notes array<string>, merged_from array<int>"
-    return rows.groupBy("video_id").applyInPandas(lambda pdf: next(fold(iter([pdf]))), kind)
+    return rows.groupBy("video_id").applyInPandas(fold, kind)
 
 
 def merged_by_vector(rows: DataFrame, similarity: float, gap: float) -> DataFrame:
