@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, exact_dedup, jaccard, langid, media, mixing, registry, secret_scan, shards, toxicity, warc
+from tessera.llm.common import stored
 from tests.llm.fixtures import TEXTS, documents, none, repeated
 from tests.oracle import connection, same_rows
 
@@ -211,8 +212,8 @@ def test_members_and_damage(tmp_path, spark):
 
     folder = f"file://{tmp_path}"
     pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 50) for i in range(4)], "page_id long, url string, html string").coalesce(1)
-    whole = warc.write_monolithic(warc.with_types(pages), folder).localCheckpoint()
-    spans = warc.normalise(whole, folder).localCheckpoint()
+    whole = stored(warc.write_monolithic(warc.with_types(pages), folder), "whole")
+    spans = stored(warc.normalise(whole, folder), "spans")
     name = spans.first().archive
     data, before = (tmp_path / name).read_bytes(), (tmp_path / whole.first().archive).read_bytes()
     assert gzip.decompress(data) == gzip.decompress(before)
