@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import grounded, jobs, quality
 from tessera.plans.fixtures import SEGMENTS_SQL, table
 from tessera.plans.retrieval import _ranked_segments, _ranked_sql
+from tessera.sources.shared import scratch
 from tessera.streaming import events as streams
 
 
@@ -121,11 +120,10 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_states_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by a stateful stream over the log as files; its last answer for each job."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    path = f"{base}/joblog-{abs(hash(sf_dir))}-{spark.sparkContext.applicationId}"
-    _log(spark, sf_dir).write.mode("overwrite").parquet(f"{path}/log")
+    path = scratch(spark, "joblog")
+    _log(spark, sf_dir).write.parquet(f"{path}/log")
     stream = streams.job_states(spark.readStream.schema("job_id long, at double, seq long, state string").parquet(f"{path}/log"))
-    out = f"{path}/out-{spark.range(1).select(F.unix_micros(F.current_timestamp()).alias('t')).first().t}"
+    out = f"{path}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")

@@ -173,6 +173,14 @@ ORACLES = {
     "description_overlap": f"""WITH {_TEXTS}, a AS (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: length(x) > 2)) AS a FROM t),
         b AS (SELECT *, lag(a) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM a)
         SELECT doc_id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) ELSE 0 END, 6) AS overlap FROM b WHERE b IS NOT NULL""",
+    "sanitized_captions": f"""WITH {_TEXTS}, r AS (SELECT doc_id, '[00:10 - 00:15]  ' || CASE WHEN doc_id % 2 = 0 THEN 'In the frame: ' ELSE '- ' END || string_split(text, ' ')[1] || ' the The the THE ' || substr(text, 1, 300) AS x FROM t),
+        a AS (SELECT doc_id, {_CLEAN.format("regexp_replace(x, '^" + chr(92) + "[[0-9:" + chr(92) + "s" + chr(92) + "-]+" + chr(92) + "]" + chr(92) + "s*', '')")} AS x FROM r),
+        b AS (SELECT doc_id, trim(regexp_replace(x, '^({"|".join(text.OPENERS)})\\s*[:,\\-]?\\s*', '', 'i')) AS x FROM a),
+        c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(x, '^\\s*[-*]+\\s*', ''), '^\\s*\\(?[0-9]+\\)?[.)]\\s*', '')) AS x FROM b),
+        d AS (SELECT doc_id, array_to_string((list_filter(string_split(regexp_replace(x, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda y: y <> ''))[:2], ' ') AS x FROM c),
+        e AS (SELECT doc_id, string_split(CASE WHEN x <> '' AND NOT regexp_matches(x, '[.!?]$') THEN x || '.' ELSE x END, ' ') AS w FROM d),
+        f AS (SELECT doc_id, array_to_string(list_filter(w, lambda y, i: NOT (i > 2 AND lower(w[i - 1]) = lower(y) AND lower(w[i - 2]) = lower(y))), ' ') AS x FROM e)
+        SELECT doc_id, CASE WHEN x <> '' AND NOT regexp_matches(x, '[.!?]$') THEN x || '.' ELSE x END AS caption FROM f""",
     "json_salvage": "SELECT event_id, event_id % 4 < 3 AS found, CASE WHEN event_id % 4 < 3 THEN json_extract_string(coalesce(props, '{}'), '$.k') END AS k FROM events",
     "hashes": "SELECT doc_id, sha1(text) AS sha1, sha1(text)[:16] AS fingerprint, sha256(text) AS sha256 FROM documents",
     "identifiers": "SELECT doc_id, regexp_replace(regexp_replace(trim(r), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS tag, regexp_replace(regexp_replace(lower(trim(r)), '[^\\p{L}\\p{N}_-]', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM (SELECT doc_id, ' .' || substr(text, 1, 40) || '_ ' AS r FROM documents)",
