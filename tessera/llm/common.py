@@ -49,11 +49,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def deleted(spark: SparkSession, path: str) -> None:
-    """Removes a folder of scratch()."""
+def deleted(spark: SparkSession, pattern: str) -> None:
+    """Removes the files and folders of a pattern."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at = jvm.org.apache.hadoop.fs.Path(pattern)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.globStatus(at) or ():
+        store.delete(found.getPath(), True)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:

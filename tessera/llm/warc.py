@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch, sorted_groups, stored
+from tessera.llm.common import deleted, scratch, sorted_groups, stored
 
 #: Equal payloads shorter than this aren't made revisits.
 MINIMUM = 100
@@ -103,8 +103,10 @@ def with_types(pages: DataFrame) -> DataFrame:
     payload that a third of all pages share is no task's whole load."""
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("n"))
-    groups = keyed.where(F.col("n") >= MINIMUM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first")
-    joined = keyed.join(groups, "digest", "left")
+    groups = keyed.where(F.col("n") >= MINIMUM).groupBy(F.unhex("digest").alias("key")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", "first")
+    # written first, its size is known: a short table is broadcast, a long one is met in a shuffle
+    groups = stored(groups, "warc-copies")
+    joined = keyed.join(groups, F.unhex("digest") == F.col("key"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -139,7 +141,7 @@ def write_monolithic(typed: DataFrame, folder: str) -> DataFrame:
     return typed.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "archive string, records long")
 
 
-def normalise(archives: DataFrame, folder: str, remove: bool = True) -> DataFrame:
+def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """(archive, first, n): each archive rewritten with a gzip member a record, and spans of its
     sidecar index, of about 4 MB each, for those who read it."""
 
@@ -217,4 +219,5 @@ def archived(pages: DataFrame) -> DataFrame:
     store.create_dir(path)
     whole = stored(write_monolithic(with_types(pages), folder), "warc-whole")
     spans = stored(normalise(whole, folder), "warc-index")
+    deleted(pages.sparkSession, f"{folder}/whole-*")
     return read_records(spans, folder)
