@@ -31,6 +31,8 @@ from pyspark.sql.types import StructType
 DIMENSIONS = 1 << 14
 CENTROIDS = 4
 SAMPLE = 500
+#: Of all languages together, at most so many texts (fewer of each, if there are more than 200 languages).
+SAMPLE_TOTAL = 100_000
 PIECE = 1 << 20
 #: Shorter texts say too little to be rejected by their distance.
 REJECT_LETTERS = 40
@@ -111,8 +113,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """A model from a bounded sample of labelled rows."""
     rows = labelled.select(key, lang, text).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     order = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.col(key))
-    ids = rows.select(key, lang).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE).select(F.col(key).alias("_k"), F.col(lang).alias("_l"))
-    sample = rows.join(ids, (F.col(key) == F.col("_k")) & (F.col(lang) == F.col("_l")), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    ranked = rows.select(key, lang).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE)
+    ids = ranked.orderBy("_n", lang, key).limit(SAMPLE_TOTAL).select(F.col(key).alias("_k"), F.col(lang).alias("_l"))
+    sample = rows.join(F.broadcast(ids), (F.col(key) == F.col("_k")) & (F.col(lang) == F.col("_l")), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
