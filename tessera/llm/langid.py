@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.llm.common import stored
+
 DIMENSIONS = 1 << 14
 CENTROIDS = 4
 SAMPLE = 500
@@ -112,8 +114,12 @@ def k_means(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """A model from a bounded sample of labelled rows."""
     rows = labelled.select(key, lang, text).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.col(key))
-    ranked = rows.select(key, lang).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE)
+    # about twice the sample of each language by its hash, so that a frequent one isn't ranked as a whole
+    counts = stored(rows.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_c")), "langid-counts")
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 31))
+    some = rows.select(key, lang, place.alias("_p")).join(counts, F.col(lang) == F.col("_l")).where(F.col("_p") * F.col("_c") < (2 * SAMPLE + 50) * float(1 << 31))
+    order = Window.partitionBy(lang).orderBy("_p", key)
+    ranked = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE)
     ids = ranked.orderBy("_n", lang, key).limit(SAMPLE_TOTAL).select(F.col(key).alias("_k"), F.col(lang).alias("_l"))
     sample = rows.join(F.broadcast(ids), (F.col(key) == F.col("_k")) & (F.col(lang) == F.col("_l")), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
