@@ -77,7 +77,8 @@ def scheduled(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     named = sized.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = stored(running_sum(named, ["sid"], ["u", "doc_id", "size"], F.col("u"), F.col("size"), cells_for(rows), "start"), "mix-placed")
     schedule = stored(slots_of(plan, block, slots), "mix-slots")
-    reach = schedule.groupBy("sid").agg((F.count(F.lit(1)) * block).alias("reach"))
+    # written, so that its size is known: next to documents it is short, and no source meets in one task
+    reach = stored(schedule.groupBy("sid").agg((F.count(F.lit(1)) * block).alias("reach")), "mix-reach")
     epochs = placed.where("size > 0").join(reach, "sid").select("*", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch"))
     epochs = epochs.withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("start")).where("begin < reach").withColumn("end", F.col("begin") + F.col("size"))
     cut = epochs.select("sid", "start", "epoch", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))).alias("k"))
