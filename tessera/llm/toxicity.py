@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = marked.orderBy(F.xxhash64(key, F.lit(11)), key).limit(SAMPLE)
     known = F.pmod(F.xxhash64(key, F.lit(12)), F.lit(5)) == 0
-    sample = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, key).select("text", "y", known.alias("held")).checkpoint()
+    sample = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), key).select("text", "y", known.alias("held")).checkpoint()
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
