@@ -2,10 +2,13 @@
 
 Sources in order of their names' code points, null last, weigh 5, 2, 1, 5, 2, 1, ... and share the
 words of all sources. No target exceeds EPOCHS times its source; what is above is shared again by
-weight among the others. The mix is a row of slots of equal size. Slot i lies at the i-th point of the
+weight among the others. The mix is a row of slots. Slot i lies at the i-th point of the
 golden-ratio sequence (in 32-bit integers, so without rounding) and goes to the source whose part
-of the cumulative targets holds that point. The k-th slot of a source takes the k-th block of the
-source's words: its documents in a seeded random order, end to end, up to EPOCHS times.
+of the cumulative targets holds that point. A source too small to hold a point shares one slot, dealt by
+its number, with the slot's owner. A source's target, in whole words and one at least, is dealt evenly
+over its slots, however many these are: the k-th slot takes the k-th of as many pieces of the source's
+words, its documents in a seeded random order, end to end, up to EPOCHS times. So every source gives its
+target to the word, and slots are of about equal size where a source has many of them.
 
 Sums along a source, and ranks of slots, are cut into cells first (common.running_sum), so a source
 with a third of all rows is many tasks' work. Sources are a short list next to their documents;
@@ -22,7 +25,7 @@ from tessera.llm.common import cells_for, running_sum, stored
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
-#: Slots of the schedule, about.
+#: Slots of the schedule at most.
 SLOTS = 1 << 17
 #: 2**32 divided by the golden ratio.
 GOLDEN = 2654435769
@@ -47,8 +50,8 @@ def targets(sized: DataFrame) -> DataFrame:
     return fits.withColumn("level", level).select("source", "sid", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def slots_of(plan: DataFrame, block: int, slots: int) -> DataFrame:
-    """(slot, sid, k): each slot's source and its rank among the source's slots."""
+def slots_of(plan: DataFrame, slots: int) -> DataFrame:
+    """(slot, sid, k): the slots of each source with a target, one at least, and their ranks among the source's slots."""
     spark = plan.sparkSession
     here = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("target").over(Window.partitionBy())
@@ -61,7 +64,12 @@ def slots_of(plan: DataFrame, block: int, slots: int) -> DataFrame:
     point = ((F.col("id") + 1) * GOLDEN % (1 << 32)) / float(1 << 32)
     points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
     owned = points.join(cells, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "sid")
-    return running_sum(owned, ["sid"], ["slot"], F.col("slot") / slots, F.lit(1), cells_for(slots, 4096), "k")
+    ranked = stored(running_sum(owned, ["sid"], ["slot"], F.col("slot") / slots, F.lit(1), cells_for(slots, 4096), "k"), "mix-owned")
+    # Written, so that the few sources between two points are found without a shuffle on the source.
+    held = stored(ranked.select("sid").distinct(), "mix-held")
+    dealt = F.shiftright((F.col("sid") + 1) * GOLDEN % (1 << 32) * slots, 32)
+    small = parts.join(held, "sid", "left_anti").select(dealt.alias("slot"), "sid", F.lit(0).cast("long").alias("k"))
+    return ranked.select("slot", "sid", F.col("k").cast("long").alias("k")).unionByName(small)
 
 
 def scheduled(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -71,19 +79,21 @@ def scheduled(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     u = F.pmod(F.xxhash64(F.lit(SEED), key, source), F.lit(1 << 31)) / float(1 << 31)
     sized = stored(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words.cast("long").alias("size"), u.alias("u")), "mix-sizes")
     total, rows = sized.agg(F.sum("size"), F.count(F.lit(1))).first()
-    block = max(1, -(-(total or 0) // SLOTS))
-    slots = max(1, -(-(total or 0) // block))
+    slots = min(SLOTS, max(1, total or 0))
     plan = stored(targets(sized), "mix-targets")
     named = sized.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = stored(running_sum(named, ["sid"], ["u", "doc_id", "size"], F.col("u"), F.col("size"), cells_for(rows), "start"), "mix-placed")
-    schedule = stored(slots_of(plan, block, slots), "mix-slots")
+    schedule = stored(slots_of(plan, slots), "mix-slots")
     # written, so that its size is known: next to documents it is short, and no source meets in one task
-    reach = stored(schedule.groupBy("sid").agg((F.count(F.lit(1)) * block).alias("reach")), "mix-reach")
+    goal = F.greatest(F.lit(1), F.round("target")).cast("long")
+    reach = stored(schedule.groupBy("sid").agg(F.count(F.lit(1)).alias("pieces")).join(plan.select("sid", goal.alias("reach")), "sid"), "mix-reach")
     epochs = placed.where("size > 0").join(reach, "sid").select("*", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch"))
-    epochs = epochs.withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("start")).where("begin < reach").withColumn("end", F.col("begin") + F.col("size"))
-    cut = epochs.select("sid", "start", "epoch", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))).alias("k"))
-    low, high = F.greatest("begin", F.col("k") * block), F.least("end", (F.col("k") + 1) * block)
-    pieces = cut.select("sid", "start", "epoch", "k", (low - F.col("begin")).alias("skip"), (high - low).alias("words"))
+    epochs = epochs.withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("start")).where("begin < reach").withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("reach")))
+    # piece k of a source holds its words from k * reach div pieces on
+    first, last = F.expr("((begin + 1) * pieces - 1) div reach"), F.expr("(end * pieces - 1) div reach")
+    cut = epochs.select("sid", "start", "epoch", "begin", "end", "pieces", "reach", F.explode(F.sequence(first, last)).alias("k"))
+    low, high = F.greatest("begin", F.expr("k * reach div pieces")), F.least("end", F.expr("(k + 1) * reach div pieces"))
+    pieces = cut.select("sid", "start", "epoch", "k", (low - F.col("begin")).alias("skip"), (high - low).alias("words")).where("words > 0")
     return placed, pieces.join(schedule, ["sid", "k"]).select("slot", "sid", "start", "epoch", "skip", "words")
 
 

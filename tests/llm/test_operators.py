@@ -332,6 +332,21 @@ def test_schedule_is_even(spark, sf_dir):
         assert all(abs(part[s] / 2000 - n / len(slots)) < 0.01 for s, n in shares.items())
 
 
+def test_small_sources_reach_their_target(spark, monkeypatch):
+    """Sources of a third of a slot and of a few slots give their targets, beside one that has nearly all."""
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    rows = [(i, "w " * 1000, "s00") for i in range(30)] + [(100 * s + i, "w " * n, f"s{s:02}") for s in range(1, 13) for i, n in enumerate([5, 13, 19, 4 * s * s])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {r[0]: r[2] for r in rows}
+    taken, target = collections.Counter(), {}
+    for r in mixing.mixed(docs).collect():
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert {s: taken[s] for s in target} == {s: max(1, round(t)) for s, t in target.items()}
+    drawn = {r.doc_id for r in mixing.drawn(docs).collect()}
+    assert {i for i in source if source[i] != "s00"} <= drawn
+
+
 # 9 BPE
 
 
