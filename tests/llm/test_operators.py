@@ -284,6 +284,21 @@ def test_jaccard_in_many_blocks(spark, monkeypatch):
     assert got == brute_links(dict(rows))
 
 
+def test_groups_of_hashes_are_packed_once(spark, tmp_path):
+    """A stage that runs again (here, for a second action) must not name or cut groups anew."""
+    def noted(column):
+        with open(tmp_path / "packed", "a") as file:
+            file.write("x")
+        return jaccard.texts_to_sets(column)
+
+    rows = documents(spark).select(F.col("doc_id").alias("id"), "text").repartition(3)
+    counts = jaccard.shared_counts(rows, noted, 4, f"file://{tmp_path}/groups")
+    packed = (tmp_path / "packed").stat().st_size if (tmp_path / "packed").exists() else 0
+    first = sorted(map(tuple, counts.collect()))
+    assert sorted(map(tuple, counts.selectExpr("*").collect())) == first and len(first) == len(TEXTS)
+    assert packed and (tmp_path / "packed").stat().st_size == packed
+
+
 # 8 mixing
 
 
