@@ -142,20 +142,29 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     return rows.mapInArrow(run, f"`{key}` {fields}, n_bytes long, digest string, shard string, offset long, length long")
 
 
+def head_at(stream, length: int) -> tuple:
+    """Width, height and bits from a range of 33 bytes."""
+    return header(stream.read(min(length, HEADER_BYTES)))[:3]
+
+
+def whole_at(stream, digest: str, length: int) -> tuple:
+    """Metadata from the header's own range, then digests and feature from the whole range."""
+    at = stream.tell()
+    head = head_at(stream, length)
+    stream.seek(at)
+    data = stream.read(length)
+    payload = from_png(data)
+    return (digest, *head, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(payload))
+
+
 def with_headers(places: DataFrame, folder: str) -> DataFrame:
     """(digest, width, height, bits) from ranges of 33 bytes; nothing else of the shards is read."""
-    return _read(places, folder, "digest string, width int, height int, bits int", lambda stream, digest, length: (digest, *header(stream.read(min(length, HEADER_BYTES)))[:3]))
+    return _read(places, folder, "digest string, width int, height int, bits int", lambda stream, digest, length: (digest, *head_at(stream, length)))
 
 
 def with_payloads(places: DataFrame, folder: str) -> DataFrame:
     """(digest, width, height, bits, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)."""
-
-    def one(stream, digest: str, length: int) -> tuple:
-        data = stream.read(length)
-        payload = from_png(data)
-        return (digest, *header(data[:HEADER_BYTES])[:3], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(payload))
-
-    return _read(places, folder, "digest string, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", one)
+    return _read(places, folder, "digest string, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", whole_at)
 
 
 def _read(places: DataFrame, folder: str, schema: str, one) -> DataFrame:
@@ -189,8 +198,8 @@ def described(docs: DataFrame) -> DataFrame:
     index = stored(write_shards(docs, folder), "media-index")
     place = F.min(F.struct("shard", "offset", "length")).alias("place")
     places = index.groupBy("digest").agg(place).select("digest", "place.*")
-    read = stored(with_payloads(places, folder).join(places.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).drop("d"), "media-read")
-    return index.select("doc_id", "n_bytes", "digest").join(read, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height")
+    read = stored(with_payloads(places, folder).join(places, "digest"), "media-read")
+    return index.select("doc_id", "n_bytes", "digest").join(read, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height", "bits")
 
 
 def tar_members(data: bytes) -> list[str]:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import re
 import zlib
 
@@ -145,6 +146,18 @@ def test_headers_by_range_and_tar(spark, tmp_path):
         media.header(b"x" * 33)
 
 
+def test_metadata_columns_come_from_header_reads(spark):
+    """A read of 33 bytes tells width, height and bits, whatever lies behind, and the query tells them."""
+    class Noted(io.BytesIO):
+        def read(self, n=-1):
+            asked.append(n)
+            return super().read(n)
+
+    asked, data = [], media.to_png(bytes(128))
+    assert media.whole_at(Noted(data), "d", len(data))[1:4] == (64, 2, 8) and asked == [33, len(data)]
+    assert all(r.bits == 8 for r in media.described(documents(spark)).collect())
+
+
 # 5 secrets
 
 PATTERNS = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32))
