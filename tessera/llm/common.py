@@ -1,5 +1,5 @@
-"""What the operators of this package share: tables, the shared folder, streaming groups out of
-sorted partitions, connected components and running sums that no single key can overload."""
+"""What the operators of this package share: tables, the shared folder, names of rows, streaming
+groups out of sorted partitions, connected components and running sums that no single key can overload."""
 
 from __future__ import annotations
 
@@ -10,9 +10,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Columns that tell the rows of a located() table apart.
+ROW = ["_tessera_file", "_tessera_row"]
+#: Rows of an Arrow batch; Spark's own 10 000 hold gigabytes where texts are long.
+BATCH_ROWS = 256
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,9 +51,36 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: lineage ends here, and what
     happened once (files written, say) isn't done again when an executor is lost."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs with the columns ROW: the hash of a row's file and its place there, which name the row in every
+    scan, whatever doc_ids and texts repeat or are null. What isn't a Parquet scan, with filters and
+    projections at most, is written first."""
+
+    def named(scan: DataFrame) -> DataFrame:
+        place = scan.metadataColumn("_metadata")
+        return scan.select(*[scan[f"`{c}`"] for c in scan.columns], F.xxhash64(place["file_path"]).alias(ROW[0]), place["row_index"].alias(ROW[1]))
+
+    node = docs._jdf.queryExecution().analyzed()
+    sure = node.deterministic()
+    while node.getClass().getSimpleName() in ("Filter", "Project", "SubqueryAlias"):
+        node = node.children().head()
+    if sure and node.getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return named(docs)
+        except AnalysisException:  # a format whose rows have no places
+            pass
+    return named(stored(docs, "located"))
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, unless they were set to something before."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def deleted(spark: SparkSession, pattern: str) -> None:
@@ -95,8 +129,8 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Recor
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a long, b long): one row (id, component) for each id in an
-    edge, component being the smallest id that can be reached.
+    """Connected components of edges (a, b), of any type that has an order: one row (id, component) for each
+    id in an edge, component being the smallest id that can be reached.
 
     Each round every id takes the smallest label among its neighbours' and then the label of that
     label, so long chains shrink by more than one step. Labels and edges stay distributed, each
@@ -133,6 +167,6 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], place, value,
     return df.join(sums, on).select(*[df[c] for c in names], (df[out] + sums[base]).alias(out))
 
 
-def cells_for(rows: int, each: int = 20_000) -> int:
-    """Cells for running_sum() so that one holds about so many rows at most."""
-    return max(1, math.ceil(rows / each))
+def cells_for(rows: int) -> int:
+    """Cells for running_sum(): as many as a cell has rows, so neither rows of a cell nor sums of cells are many."""
+    return max(1, math.isqrt(rows))
