@@ -21,12 +21,11 @@ def run_stats(runs: DataFrame, keys: list[str], fields: list[str], video: str =
 def stage_report(samples: DataFrame) -> DataFrame:
     """Stage statistics over the whole system and by (profile, variant), in one pass of grouping sets.
     samples has (profile, variant, stage, sec)."""
-    samples.createOrReplaceTempView("_stage_samples")
-    return samples.sparkSession.sql(
-        """SELECT IF(grouping(profile) = 1, 'system', 'profile_variant') AS scope, profile, variant, stage, count(sec) AS n, avg(sec) AS mean,
-                  stddev_pop(sec) AS std, min(sec) AS least, max(sec) AS most, median(sec) AS median
-           FROM _stage_samples GROUP BY GROUPING SETS ((stage), (profile, variant, stage))"""
-    )
+    sec = F.col("sec")
+    values = [F.count(sec).alias("n"), F.avg(sec).alias("mean"), F.stddev_pop(sec).alias("std"), F.min(sec).alias("least"), F.max(sec).alias("most"), F.median(sec).alias("median")]
+    stage, profile, variant = (F.col(c) for c in ("stage", "profile", "variant"))
+    out = samples.groupingSets([[stage], [profile, variant, stage]], profile, variant, stage).agg(F.grouping("profile").alias("_whole"), *values)
+    return out.select(F.when(F.col("_whole") == 1, "system").otherwise("profile_variant").alias("scope"), "profile", "variant", "stage", "n", "mean", "std", "least", "most", "median")
 
 
 def stage_values(runs: DataFrame, keys: list[str], stages: str) -> DataFrame:

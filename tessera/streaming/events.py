@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.jobs import TERMINAL
 
@@ -28,16 +24,8 @@ def job_states(log: DataFrame) -> DataFrame:
     """The state of each job after each batch of its log (job_id, at, seq, state). A job that has ended stays
     ended, whatever comes late."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        for pdf in batches:
-            for r in pdf.itertuples():
-                now = (int(r.state in TERMINAL), float(r.at), int(r.seq), r.state)
-                best = now if best is None or now[:3] > tuple(best[:3]) else best
-        state.update(best)
-        yield pd.DataFrame([(key[0], best[3], best[1])], columns=["job_id", "state", "at"])
-
-    return log.groupBy("job_id").applyInPandasWithState(step, "job_id long, state string, at double", "ended int, at double, seq long, state string", "update", GroupStateTimeout.NoTimeout)
+    latest = F.max(F.struct(F.col("state").isin(*TERMINAL).alias("ended"), "at", "seq", "state")).alias("x")
+    return log.groupBy("job_id").agg(latest).select("job_id", "x.state", "x.at")
 
 
 def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
