@@ -42,51 +42,57 @@ RISKS, PEOPLE, MOTIONS = ("normal", "attention", "warning", "critical"), ("none"
 NO_ACTIVITY = "No clear visible activity is described."
 
 
-def has_any(c: Column, terms: tuple[str, ...]) -> Column:
+def lowered(c: Column) -> Column:
+    """Text as the rules look at it. A rule lowers its text itself; callers that apply several rules to one
+    long text make a column of this first and say low=True."""
+    return F.lower(F.coalesce(c, F.lit("")))
+
+
+def has_any(c: Column, terms: tuple[str, ...], low: bool = False) -> Column:
     """Whether any term is a substring, in any case."""
-    low = F.lower(F.coalesce(c, F.lit("")))
+    low = c if low else lowered(c)
     out = low.contains(terms[0])
     for t in terms[1:]:
         out = out | low.contains(t)
     return out
 
 
-def _labels(c: Column, table: dict[str, tuple[str, ...]], *more: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(has_any(c, terms), name) for name, terms in table.items()], *more))
+def _labels(c: Column, table: dict[str, tuple[str, ...]], low: bool, *more: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(has_any(c, terms, low), name) for name, terms in table.items()], *more))
 
 
-def objects(c: Column) -> Column:
-    return _labels(c, OBJECTS)
+def objects(c: Column, low: bool = False) -> Column:
+    return _labels(c, OBJECTS, low)
 
 
-def tags(c: Column, flag: Column) -> Column:
-    return _labels(c, TAGS, F.when(flag, "attention"))
+def tags(c: Column, flag: Column, low: bool = False) -> Column:
+    return _labels(c, TAGS, low, F.when(flag, "attention"))
 
 
-def people_bucket(c: Column) -> Column:
-    return F.when(~has_any(c, OBJECTS["person"]), "none").when(has_any(c, CROWD), "high").when(has_any(c, SEVERAL), "mid").otherwise("low")
+def people_bucket(c: Column, low: bool = False) -> Column:
+    return F.when(~has_any(c, OBJECTS["person"], low), "none").when(has_any(c, CROWD, low), "high").when(has_any(c, SEVERAL, low), "mid").otherwise("low")
 
 
-def motion(c: Column) -> Column:
-    return F.when(has_any(c, DYNAMIC), "dynamic").when(has_any(c, STABLE), "stable").otherwise("static")
+def motion(c: Column, low: bool = False) -> Column:
+    return F.when(has_any(c, DYNAMIC, low), "dynamic").when(has_any(c, STABLE, low), "stable").otherwise("static")
 
 
-def event_type(c: Column, flag: Column) -> Column:
-    person = F.when(has_any(c, TAGS["entry_exit"]), "entry_exit").otherwise("person_activity")
-    return F.when(flag & has_any(c, SUSPICIOUS), "suspicious_activity").when(has_any(c, OBJECTS["vehicle"]), "vehicle_activity").when(has_any(c, OBJECTS["person"]), person).otherwise("scene_observation")
+def event_type(c: Column, flag: Column, low: bool = False) -> Column:
+    person = F.when(has_any(c, TAGS["entry_exit"], low), "entry_exit").otherwise("person_activity")
+    return F.when(flag & has_any(c, SUSPICIOUS, low), "suspicious_activity").when(has_any(c, OBJECTS["vehicle"], low), "vehicle_activity").when(has_any(c, OBJECTS["person"], low), person).otherwise("scene_observation")
 
 
-def risk(c: Column, flag: Column, confidence: Column, notes: Column) -> Column:
+def risk(c: Column, flag: Column, confidence: Column, notes: Column, low: bool = False) -> Column:
     """struct(level, reason), the first rule that holds."""
 
     def told(level: str, reason: Column) -> Column:
         return F.struct(F.lit(level).alias("level"), reason.alias("reason"))
 
     return (
-        F.when(has_any(c, UNSAFE), told("warning", F.lit(REASON_UNSAFE)))
+        F.when(has_any(c, UNSAFE, low), told("warning", F.lit(REASON_UNSAFE)))
         .when(flag & (confidence >= 0.75), told("warning", F.lit(REASON_SUSPICIOUS)))
         .when(flag | (confidence >= 0.35), told("attention", F.coalesce(F.get(notes, F.lit(0)), F.lit(REASON_SIGNALS))))
-        .when(has_any(c, NOTABLE), told("attention", F.lit(REASON_NOTABLE)))
+        .when(has_any(c, NOTABLE, low), told("attention", F.lit(REASON_NOTABLE)))
         .otherwise(told("normal", F.lit(REASON_NONE)))
     )
 
@@ -148,3 +154,29 @@ def output_guard(c: Column) -> Column:
 
 def bad_output(c: Column) -> Column:
     return (F.trim(F.coalesce(c, F.lit(""))) == "") | has_any(c, BAD_OUTPUT)
+
+
+# Descriptions that tell nothing, what a generated one may begin with, and its least length.
+EMPTY_DESCRIPTIONS = ("No clear visible activity is described", "the scene", "the image")
+FENCES, REPLY_HEADS, LEAST_DESCRIPTION = ("```json", "```"), ('"): "', '\u201d: "'), 35
+
+
+def clean_description(c: Column) -> Column:
+    """A description without what a model's reply leaves around it: fences, the end of a key, quotes."""
+    text = F.coalesce(c, F.lit(""))
+    for fence in FENCES:
+        text = F.replace(text, F.lit(fence), F.lit(""))
+    text = clean(text)
+    head = text.startswith(REPLY_HEADS[0]) | text.startswith(REPLY_HEADS[1])
+    text = F.btrim(F.when(head, F.substr(text, F.lit(5))).otherwise(text), F.lit(' "'))
+    return F.when(text.endswith('".'), F.concat(F.substring(text, F.lit(1), F.length(text) - 2), F.lit("."))).otherwise(text)
+
+
+def valid_description(c: Column) -> Column:
+    """Whether a clean description can serve as a query."""
+    return (F.length(c) >= LEAST_DESCRIPTION) & ~c.isin(*EMPTY_DESCRIPTIONS) & ~c.startswith(":")
+
+
+def needs_review(flag: Column, level: Column) -> Column:
+    """Whether a segment is worth an operator's or an editor's look."""
+    return F.coalesce(flag, F.lit(False)) | F.lower(F.trim(F.coalesce(level, F.lit("")))).isin(*RISKS[1:])

@@ -118,3 +118,80 @@ def translated(segments: DataFrame, translations: DataFrame) -> DataFrame:
     """Segments with the text translated at their place, or their own where there is none or it is blank."""
     t = translations.select("video_id", "pos", F.col("text").alias("_t"))
     return segments.join(t, ["video_id", "pos"], "left").withColumn("text", F.coalesce(F.nullif(F.trim("_t"), F.lit("")), F.col("text"))).drop("_t")
+
+
+# What roles of workers do, and where jobs of a kind stand in the queue.
+ROLES = {"gpu": ("process",), "worker_gpu": ("process",), "mt": ("translate",), "worker_mt": ("translate",), "cpu": ("index", "summary_polish"), "worker_cpu": ("index", "summary_polish")}
+PRIORITIES = {"process": 10, "translate": 20, "summary_polish": 25, "index": 30}
+
+
+def priority_of(job_type: Column) -> Column:
+    """Where a job of this kind stands in the queue; other kinds stand first."""
+    out = F.lit(min(PRIORITIES.values()))
+    for name, value in PRIORITIES.items():
+        out = F.when(F.lower(F.trim(F.coalesce(job_type, F.lit("")))) == name, value).otherwise(out)
+    return out
+
+
+def claimed(queue: DataFrame, role: str, paused: bool = False) -> DataFrame:
+    """The queue (job_id, job_type, place) with claim: run for what a worker of this role may do, requeue (with the
+    priority of its kind) for the rest, wait for all while the queue is paused. Other roles do everything."""
+    kinds = ROLES.get(role.strip().lower())
+    mine = F.lit(True) if kinds is None else F.lower(F.trim(F.coalesce("job_type", F.lit("")))).isin(*kinds)
+    claim = F.lit("wait") if paused else F.when(mine, "run").otherwise("requeue")
+    return queue.withColumn("claim", claim).withColumn("priority", F.when(F.col("claim") == "requeue", priority_of(F.col("job_type"))))
+
+
+def leased(jobs: DataFrame, worker: str, now: float, seconds: float, most: int) -> DataFrame:
+    """The jobs (job_id, state, lease_until, place) after a worker has taken the first ``most`` that are queued, for
+    so many seconds."""
+    turn = F.row_number().over(Window.partitionBy(F.col("state") == "queued").orderBy("place", "job_id"))
+    rows = jobs.withColumn("_take", (F.col("state") == "queued") & (turn <= most))
+    return rows.withColumn("state", F.when(F.col("_take"), "leased").otherwise(F.col("state"))).withColumn("owner", F.when(F.col("_take"), worker)).withColumn("lease_until", F.when(F.col("_take"), now + seconds).otherwise(F.col("lease_until"))).drop("_take")
+
+
+def heard(jobs: DataFrame, beats: DataFrame, seconds: float) -> DataFrame:
+    """The jobs after heartbeats (job_id, owner, at): a lease is put off by its owner's last beat, if it wasn't over."""
+    last = beats.groupBy("job_id", F.col("owner").alias("_owner")).agg(F.max("at").alias("_at"))
+    rows = jobs.join(last.withColumnRenamed("job_id", "_job"), (F.col("job_id") == F.col("_job")) & (F.col("owner") == F.col("_owner")), "left")
+    alive = F.col("_at").isNotNull() & (F.col("_at") <= F.col("lease_until")) & F.col("state").isin("leased", "running")
+    return rows.withColumn("lease_until", F.when(alive, F.greatest("lease_until", F.col("_at") + seconds)).otherwise(F.col("lease_until"))).drop("_job", "_owner", "_at")
+
+
+def created(requests: DataFrame, jobs: DataFrame, now: float) -> DataFrame:
+    """(request_id, job_id, is_new, priority): the live job that a request asks for again, or a new one, named by
+    what is asked, so that requests that are alike make one."""
+    keys = ("video_id", "job_type", "profile", "variant", "language", "source_language")
+    found = requests.join(reusable(requests, jobs, now), "request_id", "left")
+    name = F.concat(F.lit("job_"), F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys])), 1, 12))
+    return found.select("request_id", F.coalesce(F.col("job_id").cast("string"), name).alias("job_id"), F.col("job_id").isNull().alias("is_new"), priority_of(F.col("job_type")).alias("priority"))
+
+
+def failure_entries(failed: DataFrame) -> DataFrame:
+    """(video_id, kind, name, status, error): what a job's failure (job_id, job_type, video_id, variant, language, error)
+    leaves behind: in the manifest of its language, in its batch if it is a process job, at the job, in the index."""
+    def entry(kind: str, name: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), name.alias("name")))
+
+    kind = F.lower(F.trim(F.coalesce("job_type", F.lit(""))))
+    video, told = (F.coalesce(F.col(c).cast("string"), F.lit("")) != "" for c in ("video_id", "language"))
+    variant = F.coalesce(F.nullif("variant", F.lit("")), F.lit("base"))
+    entries = F.array_compact(F.array(entry("manifest", F.concat_ws("/", variant, F.lower("language")), video & told & kind.isin("process", "translate")), entry("batch", variant, video & (kind == "process")), entry("job", F.col("job_id"), F.lit(True)), entry("index", F.lit("state"), F.lit(True))))
+    return failed.select("job_id", "video_id", "error", F.explode(entries).alias("x")).select("job_id", "video_id", "x.kind", "x.name", F.lit("failed").alias("status"), "error")
+
+
+def variant_jobs(batches: DataFrame) -> DataFrame:
+    """One job of a batch (batch_id, video_id, variant_ids) for each of its variants."""
+    return batches.select("batch_id", "video_id", F.posexplode("variant_ids").alias("pos", "variant")).withColumn("job_id", F.concat_ws("_", "batch_id", "variant"))
+
+
+def stopped(jobs: DataFrame, flags: DataFrame) -> DataFrame:
+    """The jobs (job_id, state) after flags (job_id, at, action): the last pause, resume or cancel of each counts; a job
+    that has ended stays as it is, and a running one ends at its next step (cancel_requested)."""
+    last = flags.groupBy("job_id").agg(F.max_by("action", "at").alias("_action"))
+    rows = jobs.join(last, "job_id", "left")
+    live = ~F.col("state").isin(*TERMINAL)
+    cancel = live & (F.col("_action") == "cancel")
+    waiting = F.col("state").isin("queued", "paused")
+    state = F.when(cancel & waiting, "canceled").when(live & waiting & (F.col("_action") == "pause"), "paused").when((F.col("state") == "paused") & (F.col("_action") == "resume"), "queued").otherwise(F.col("state"))
+    return rows.select(*[c for c in jobs.columns if c != "state"], state.alias("state"), F.coalesce(cancel & ~waiting, F.lit(False)).alias("cancel_requested"))

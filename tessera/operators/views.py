@@ -134,3 +134,16 @@ def document_order(files: DataFrame) -> DataFrame:
     """Of each (video_id, variant), the segment file to read: zst before gz."""
     best = F.max_by("path", F.struct(F.col("path").endswith(".zst"), "path"))
     return files.groupBy("video_id", "variant").agg(best.alias("path"))
+
+
+def annotation_hits(segments: DataFrame, top_k: int) -> DataFrame:
+    """The first segments (video_id, pos, ...) of each video as hits: scores 1, the caption where there is one."""
+    order = Window.partitionBy("video_id").orderBy("pos")
+    text = F.coalesce(F.nullif("normalized_caption", F.lit("")), "description", F.lit(""))
+    rows = segments.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, top_k))
+    return rows.withColumn("description", text).select("*", *[F.lit(1.0).alias(c) for c in ("score", "sparse_score", "dense_score")])
+
+
+def citations(hits: DataFrame) -> DataFrame:
+    """What a grounded answer tells of its hits."""
+    return hits.select("video_id", F.coalesce("start_sec", F.lit(0.0)).alias("start_sec"), F.coalesce("end_sec", F.lit(0.0)).alias("end_sec"), "segment_id", "variant")

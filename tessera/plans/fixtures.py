@@ -54,9 +54,10 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         confidence.alias("anomaly_confidence"),
         F.when(flag, F.array(F.lit("flagged text"), F.lit("check"))).otherwise(F.array().cast("array<string>")).alias("anomaly_notes"),
     )
-    d, f = F.col("description"), F.col("anomaly_flag")
-    told = rules.risk(d, f, F.col("anomaly_confidence"), F.col("anomaly_notes"))
-    return base.select("*", rules.event_type(d, f).alias("event_type"), told["level"].alias("risk_level"), told["reason"].alias("severity_reason"), rules.people_bucket(d).alias("people_count_bucket"), rules.motion(d).alias("motion_type"), rules.tags(d, f).alias("tags"), rules.objects(d).alias("objects"))
+    base = base.withColumn("_low", rules.lowered(F.col("description")))
+    d, f = F.col("_low"), F.col("anomaly_flag")
+    told = rules.risk(d, f, F.col("anomaly_confidence"), F.col("anomaly_notes"), low=True)
+    return base.select("*", rules.event_type(d, f, low=True).alias("event_type"), told["level"].alias("risk_level"), told["reason"].alias("severity_reason"), rules.people_bucket(d, low=True).alias("people_count_bucket"), rules.motion(d, low=True).alias("motion_type"), rules.tags(d, f, low=True).alias("tags"), rules.objects(d, low=True).alias("objects")).drop("_low")
 
 
 def _any(terms: tuple[str, ...], c: str = "low") -> str:

@@ -88,7 +88,7 @@ def ablation_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ablation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_suppkey"), F.round("l_discount", 2).alias("alpha"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey"), F.round("l_discount", 2).alias("alpha"))
     return metrics.missing_levels(rows, ["l_suppkey"], "alpha", [0.0, 0.02, 0.05, 0.1, 0.25]).select("l_suppkey", F.size("missing").alias("n"), F.concat_ws(",", F.transform("missing", lambda x: x.cast("string"))).alias("missing"))
 
 
@@ -97,8 +97,8 @@ def scene_capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def video_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.summaries(segments(spark, sf_dir).withColumn("description", F.substring("description", 1, 40)))
-    return out.select("video_id", "total", F.concat_ws(",", "citations").alias("citations"), F.concat_ws(",", "key_events").alias("key_events"), F.col("risks.normal").alias("normal"), F.col("risks.warning").alias("warning"), F.round("people_ratio", 6).alias("people_ratio"), "summary")
+    out = metrics.summaries(segments(spark, sf_dir))
+    return out.select("video_id", "total", F.concat_ws(",", "citations").alias("citations"), F.concat_ws(",", "key_events").alias("key_events"), F.col("risks.normal").alias("normal"), F.col("risks.warning").alias("warning"), F.round("people_ratio", 6).alias("people_ratio"), F.sha1("summary").alias("summary"))
 
 
 def batch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,12 +154,11 @@ def synthetic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well BM25 finds the documents that hold a benchmark passage: relevance is containment of its
-    first 60 characters."""
+    """How well BM25 finds the documents that hold a benchmark passage: relevance is containment of it."""
     from tessera.operators import search
 
     hits = search.top(_sparse(spark, sf_dir).withColumn("score", F.round("score", 6)), 10)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("head"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = hits.join(asked, "query_id").join(docs, "doc_id").where(F.col("text").contains(F.col("head")))
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"), F.round(F.sum(1 / F.log2(F.col("rank") + 1)), 6).alias("dcg"))
@@ -207,18 +206,18 @@ ORACLES = {
     "dataset_scale": f"""WITH {_RUNS}, m AS (SELECT c_custkey, c_mktsegment AS dataset_id, (c_custkey % 900) / 3600.0::DOUBLE AS h, CASE WHEN c_nationkey > 3 THEN c_nationkey END AS scene, c_custkey IN (SELECT video_id FROM runs) AS ok FROM customer)
         SELECT dataset_id, count(*) AS videos_total, count_if(ok) AS videos_processed, count_if(NOT ok) AS videos_excluded, round(sum(h), 6) AS duration_hours_total, round(sum(CASE WHEN ok THEN h ELSE 0 END), 6) AS duration_hours_processed, count(DISTINCT scene) AS scenes FROM m GROUP BY dataset_id""",
     "ablation_means": "SELECT l_returnflag AS dataset_id, round(l_discount, 2) AS alpha, round(avg(l_quantity / 50), 6) AS p_5, round(avg(l_tax), 6) AS mrr FROM lineitem GROUP BY 1, 2",
-    "ablation_gaps": "WITH g AS (SELECT l_suppkey, list(DISTINCT round(l_discount, 2)) AS have FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), m AS (SELECT l_suppkey, list_filter([0.0::DOUBLE, 0.02, 0.05, 0.1, 0.25], lambda x: NOT list_contains(have, x)) AS missing FROM g) SELECT l_suppkey, len(missing) AS n, coalesce(array_to_string(list_transform(missing, lambda x: CAST(x AS VARCHAR)), ','), '') AS missing FROM m",
+    "ablation_gaps": "WITH g AS (SELECT l_suppkey, list(DISTINCT round(l_discount, 2)) AS have FROM lineitem GROUP BY 1), m AS (SELECT l_suppkey, list_filter([0.0::DOUBLE, 0.02, 0.05, 0.1, 0.25], lambda x: NOT list_contains(have, x)) AS missing FROM g) SELECT l_suppkey, len(missing) AS n, coalesce(array_to_string(list_transform(missing, lambda x: CAST(x AS VARCHAR)), ','), '') AS missing FROM m",
     "scene_capsules": f"""WITH {SEGMENTS_SQL}, parts AS (
             SELECT video_id, 0 AS o, 2 AS top, event_type AS v, pos AS p, 0 AS q FROM seg UNION ALL SELECT video_id, 1, 1, risk_level, pos, 0 FROM seg UNION ALL SELECT video_id, 2, 1, people_count_bucket, pos, 0 FROM seg
             UNION ALL SELECT video_id, 3, 1, motion_type, pos, 0 FROM seg UNION ALL SELECT video_id, 4, 2, unnest(anomaly_notes), pos, unnest(range(0, len(anomaly_notes))) FROM seg WHERE anomaly_flag),
         cnt AS (SELECT video_id, o, top, v, count(*) AS n, min(p * 10 + q) AS f FROM parts GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, o ORDER BY n DESC, f) AS r FROM cnt),
         k AS (SELECT *, row_number() OVER (PARTITION BY video_id, lower(v) ORDER BY o, r) AS k FROM r WHERE r <= top)
         SELECT video_id, array_to_string((list(v ORDER BY o, r))[:8], '|') AS capsules FROM k WHERE k = 1 GROUP BY video_id""",
-    "video_summaries": f"""WITH {SEGMENTS_SQL}, s AS (SELECT *, trim(substr(description, 1, 40)) AS txt FROM seg), t AS (SELECT video_id, txt, min(pos) AS p FROM s WHERE txt <> '' GROUP BY ALL),
+    "video_summaries": f"""WITH {SEGMENTS_SQL}, s AS (SELECT *, trim(description) AS txt FROM seg), t AS (SELECT video_id, txt, min(pos) AS p FROM s WHERE txt <> '' GROUP BY ALL),
         h AS (SELECT video_id, string_agg(txt, ' ' ORDER BY p) AS head FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY p) AS r FROM t) WHERE r <= 3 GROUP BY video_id),
         g AS (SELECT video_id, count(*) AS total, string_agg(segment_id, ',' ORDER BY pos) FILTER (pos < 10) AS citations, string_agg(event_type, ',' ORDER BY pos) FILTER (pos < 3) AS key_events, count_if(pos < 5 AND risk_level = 'normal') AS normal, count_if(pos < 5 AND risk_level = 'warning') AS warning,
               count_if(pos < 5 AND people_count_bucket <> 'none') / count(*)::DOUBLE AS pr, count_if(anomaly_flag OR risk_level <> 'normal') AS att FROM s GROUP BY video_id)
-        SELECT video_id, total, citations, key_events, normal, warning, round(pr, 6) AS people_ratio, head || CASE WHEN att > 0 THEN ' ' || att || ' segment(s) require attention based on visible anomaly signals.' ELSE '' END AS summary FROM g JOIN h USING (video_id)""",
+        SELECT video_id, total, citations, key_events, normal, warning, round(pr, 6) AS people_ratio, sha1(head || CASE WHEN att > 0 THEN ' ' || att || ' segment(s) require attention based on visible anomaly signals.' ELSE '' END) AS summary FROM g JOIN h USING (video_id)""",
     "batch_states": "WITH s AS (SELECT l_orderkey, list_extract(['done', 'done', 'done', 'running', 'queued', 'done', 'failed'], CAST(l_linenumber AS INT)) AS s FROM lineitem) SELECT l_orderkey, CASE WHEN bool_and(s = 'done') THEN 'done' WHEN bool_or(s = 'failed') THEN 'failed' WHEN bool_or(s = 'running') THEN 'running' ELSE 'queued' END AS state FROM s GROUP BY l_orderkey",
     "latency_p95_both": "SELECT event_type, round(quantile_cont(round(value, 6), 0.95), 6) AS interpolated, quantile_disc(round(value, 6), 0.95) AS nearest FROM events GROUP BY event_type",
     "relevance_match": f"WITH {_MATCH} SELECT query_id, rank, label_id, grade FROM mt",
@@ -230,5 +229,5 @@ ORACLES = {
     "synthetic_labels": f"""WITH {SEGMENTS_SQL}, o AS (SELECT *, CASE WHEN video_id < 'src15' THEN 'first' ELSE 'second' END AS dataset_id, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS k FROM seg WHERE length(description) >= 35),
         r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY video_id) AS n FROM o WHERE k = 1) SELECT dataset_id, video_id, segment_id, n FROM r WHERE n <= CASE dataset_id WHEN 'first' THEN 5 ELSE 4 END""",
     "passage_retrieval": f"""WITH {BM25_SQL}, t AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm)
-        SELECT query_id, count(*) AS hits, min(rank) AS first, round(sum(1 / log2(rank + 1)), 6) AS dcg FROM t JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 10 AND contains(d.text, substr(b.text, 1, 60)) GROUP BY query_id""",
+        SELECT query_id, count(*) AS hits, min(rank) AS first, round(sum(1 / log2(rank + 1)), 6) AS dcg FROM t JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 10 AND contains(d.text, b.text) GROUP BY query_id""",
 }

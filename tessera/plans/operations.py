@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import grounded, jobs, quality
 from tessera.plans.fixtures import SEGMENTS_SQL, table
 from tessera.plans.retrieval import _ranked_segments, _ranked_sql
+from tessera.plans.texts import _redacted
 from tessera.sources.shared import scratch
 from tessera.streaming import events as streams
 
@@ -85,7 +86,7 @@ def dataset_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    o = table(spark, sf_dir, "orders")
     items = o.select((F.col("o_orderkey") % 3 * 10 + 10).alias("priority"), F.substring("o_orderpriority", 1, 1).alias("tag"), F.concat(F.lit("job_"), F.col("o_orderkey").cast("string")).alias("job_id"))
     known = o.where("o_custkey % 2 = 0").select(F.concat(F.lit("job_"), F.col("o_orderkey").cast("string")).alias("job_id"), F.col("o_custkey").alias("video_id"))
     return items, known
@@ -156,7 +157,7 @@ def pending_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def follow_up_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("video_id"), F.when(F.col("o_orderkey") % 2 == 0, "en").otherwise("ru").alias("language"))
+    done = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("video_id"), F.when(F.col("o_orderkey") % 2 == 0, "en").otherwise("ru").alias("language"))
     return jobs.follow_ups(done, {"ru": 20, "kz": 30})
 
 
@@ -174,20 +175,20 @@ def translated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked_segments(spark, sf_dir, 8).withColumn("description", F.substring("description", 1, 50))
+    return _ranked_segments(spark, sf_dir, 8)
 
 
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grounded.context(_hits(spark, sf_dir))
+    return grounded.context(_hits(spark, sf_dir)).select("query_id", F.sha1("context").alias("context"))
 
 
 def grounded_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grounded.guarded(grounded.report(_hits(spark, sf_dir)), "report")
+    return grounded.guarded(grounded.report(_hits(spark, sf_dir)), "report").withColumn("report", F.sha1("report"))
 
 
 def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("query_id")))
-    return grounded.with_fallback(queries, grounded.answer(_hits(spark, sf_dir)), "answer", grounded.NO_ANSWER)
+    return grounded.with_fallback(queries, grounded.answer(_hits(spark, sf_dir)), "answer", grounded.NO_ANSWER).withColumn("answer", F.sha1("answer"))
 
 
 def sliding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,9 +207,9 @@ _MANIFEST = """m AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 50 = 0 THEN '
     CASE WHEN p_partkey % 37 = 0 THEN 'mock://' || p_partkey ELSE '/Data/' || CASE WHEN p_partkey % 43 = 0 THEN p_partkey - 1 ELSE p_partkey END END AS source_path, CASE WHEN p_partkey % 4 = 0 THEN 'train' ELSE 'test' END AS split FROM part)"""
 _DIFF = """now AS (SELECT 'f' || doc_id AS path, sha1(text) AS a FROM documents WHERE doc_id % 11 > 0), known AS (SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha1(text) END AS b FROM documents WHERE doc_id % 5 > 0),
     diff AS (SELECT coalesce(n.path, k.path) AS path, CASE WHEN b IS NULL THEN 'new' WHEN a IS NULL THEN 'deleted' WHEN a = b THEN 'same' ELSE 'changed' END AS change FROM now n FULL JOIN known k ON n.path = k.path)"""
-_QUEUE = "q AS (SELECT 'job_' || o_orderkey AS job_id, CASE WHEN o_custkey % 2 = 0 THEN o_custkey END AS video_id, o_orderkey % 3 * 10 + 10 AS priority, o_orderpriority[1] AS tag, row_number() OVER (ORDER BY o_orderkey % 3, o_orderpriority[1], 'job_' || o_orderkey) AS place FROM orders WHERE o_orderstatus = 'P')"
+_QUEUE = "q AS (SELECT 'job_' || o_orderkey AS job_id, CASE WHEN o_custkey % 2 = 0 THEN o_custkey END AS video_id, o_orderkey % 3 * 10 + 10 AS priority, o_orderpriority[1] AS tag, row_number() OVER (ORDER BY o_orderkey % 3, o_orderpriority[1], 'job_' || o_orderkey) AS place FROM orders)"
 _LOG = "log AS (SELECT l_orderkey AS job_id, CAST(date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS day, l_linenumber AS seq, list_extract(['queued', 'leased', 'running', 'running', 'indexing', 'done', 'failed'], CAST(l_linenumber AS INT)) AS state FROM lineitem), lg AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY state IN ('done', 'failed', 'canceled') DESC, day DESC, seq DESC) AS n FROM log)"
-_HITS = f"{_ranked_sql(8)}, h AS (SELECT * REPLACE (substr(description, 1, 50) AS description), printf('%.1f', round_even(start_sec, 1)) AS a, printf('%.1f', round_even(end_sec, 1)) AS b FROM hits)"
+_HITS = f"{_ranked_sql(8)}, h AS (SELECT *, printf('%.1f', round_even(start_sec, 1)) AS a, printf('%.1f', round_even(end_sec, 1)) AS b FROM hits)"
 ORACLES = {
     "manifest_validation": f"""WITH {_MANIFEST}, c AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS ids, count(*) OVER (PARTITION BY lower(source_path)) AS paths FROM m),
         e AS (SELECT video_id, list_filter([CASE WHEN trim(dataset_id) = '' THEN 'blank dataset_id' END, CASE WHEN ids > 1 THEN 'duplicate video_id' END, CASE WHEN paths > 1 THEN 'duplicate source_path' END, CASE WHEN k % 37 = 0 THEN 'mock source' END,
@@ -232,15 +233,15 @@ ORACLES = {
     "most_recent_running": "WITH d AS (SELECT o_orderkey AS job_id, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders WHERE o_orderstatus = 'O') SELECT job_id, CASE WHEN job_id % 2 = 0 OR job_id % 3 = 0 THEN day ELSE day - 30 END AS \"at\" FROM d ORDER BY 2 DESC, job_id LIMIT 1",
     "matrix_cross": "SELECT s_suppkey AS video_id, profile, variant FROM supplier, (VALUES ('main'), ('v08')) p(profile), (VALUES (''), ('no_merge')) v(variant)",
     "pending_jobs": "SELECT c_custkey AS video_id, language FROM customer, (VALUES ('F'), ('O'), ('P')) l(language) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = language)",
-    "follow_up_jobs": """WITH d AS (SELECT o_orderkey AS job_id, o_custkey AS video_id, CASE WHEN o_orderkey % 2 = 0 THEN 'en' ELSE 'ru' END AS l FROM orders WHERE o_orderstatus = 'P')
+    "follow_up_jobs": """WITH d AS (SELECT o_orderkey AS job_id, o_custkey AS video_id, CASE WHEN o_orderkey % 2 = 0 THEN 'en' ELSE 'ru' END AS l FROM orders)
         SELECT job_id, video_id, 'index' AS job_type, l AS target, 25 AS priority FROM d UNION ALL SELECT job_id, video_id, 'translate', t, p FROM d, (VALUES ('ru', 20), ('kz', 30)) x(t, p) WHERE t <> l""",
     "library_filter": """SELECT c_custkey AS video_id, 'ready' AS status, CASE WHEN c_custkey % 2 = 0 THEN 'summary,' ELSE '' END || 'translated,' || CASE WHEN c_custkey % 4 = 0 THEN 'variants,' ELSE '' END || 'outputs' AS tags
         FROM customer WHERE c_custkey % 5 > 0 AND c_custkey % 7 > 0 AND c_custkey % 3 = 1 AND c_custkey * 3600.0 >= 1500 * 3600.0 - 30 * 86400 AND contains(lower(c_name), 'tomer')""",
     "translated_turns": "SELECT conv_id AS video_id, turn AS pos, sha1(CASE WHEN turn % 2 = 0 AND conv_id % 5 > 0 THEN trim('[RU] ' || text, ' ') ELSE text END) AS sha1 FROM conversations",
-    "context_blocks": f"WITH {_HITS} SELECT query_id, string_agg(rank || '. video=' || video_id || ' time=' || a || '-' || b || ' segment=' || segment_id || ' text=' || trim(description), chr(10) ORDER BY rank) AS context FROM h WHERE rank <= 6 GROUP BY query_id",
-    "grounded_reports": f"WITH {_HITS} SELECT query_id, replace(replace(replace(replace('Grounded report.' || chr(10) || string_agg(rank || '. ' || video_id || ' [' || a || '-' || b || '] ' || trim(description) || ' [type=' || event_type || ' | risk=' || risk_level || ' | people=' || people_count_bucket || ' | motion=' || motion_type || ']', chr(10) ORDER BY rank), 'password', '[redacted]'), 'Api Key', '[redacted]'), 'secret token', '[redacted]'), 'api key', '[redacted]') AS report FROM h GROUP BY query_id",
+    "context_blocks": f"WITH {_HITS} SELECT query_id, sha1(string_agg(rank || '. video=' || video_id || ' time=' || a || '-' || b || ' segment=' || segment_id || ' text=' || trim(description), chr(10) ORDER BY rank)) AS context FROM h WHERE rank <= 6 GROUP BY query_id",
+    "grounded_reports": f"WITH {_HITS}, g AS (SELECT query_id, 'Grounded report.' || chr(10) || string_agg(rank || '. ' || video_id || ' [' || a || '-' || b || '] ' || trim(description) || ' [type=' || event_type || ' | risk=' || risk_level || ' | people=' || people_count_bucket || ' | motion=' || motion_type || ']', chr(10) ORDER BY rank) AS r FROM h GROUP BY query_id) SELECT query_id, sha1({_redacted('r')}) AS report FROM g",
     "grounded_answers": f"""WITH {_HITS}, g AS (SELECT query_id, '{grounded.HEAD}' || chr(10) || string_agg(rank || '. ' || video_id || ' [' || a || '-' || b || 's]: ' || trim(description), chr(10) ORDER BY rank) FILTER (rank <= 3) || CASE WHEN count(*) > 3 THEN chr(10) || 'Additional grounded segments available: ' || (count(*) - 3) || '.' ELSE '' END AS answer FROM h GROUP BY query_id)
-        SELECT i.query_id, coalesce(answer, '{grounded.NO_ANSWER}') AS answer FROM (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1) i LEFT JOIN g ON g.query_id = i.query_id""",
+        SELECT i.query_id, sha1(coalesce(answer, '{grounded.NO_ANSWER}')) AS answer FROM (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -1) i LEFT JOIN g ON g.query_id = i.query_id""",
     "sliding_events": "WITH w AS (SELECT event_type, value, unnest([epoch_us(ts) // 10800000000 * 10800 - 10800, epoch_us(ts) // 10800000000 * 10800]) AS begins FROM events) SELECT begins, begins + 21600 AS ends, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL",
     "session_events": """WITH e AS (SELECT user_id, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 14400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS s FROM e)
         SELECT user_id, min(t) AS begins, max(t) + 14400000000 AS ends, count(*) AS n FROM s GROUP BY user_id, s""",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import rules, scalars, text
+from tessera.operators import translate
 from tessera.plans.fixtures import CUE_SQL, SEGMENTS_SQL, cue, segments, table, terms_sql
 
 
@@ -22,11 +23,11 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stopword_filtered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(text.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    return table(spark, sf_dir, "documents").select(F.explode(text.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lemma_en_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(text.terms(F.col("text"), lemma=True)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    return table(spark, sf_dir, "documents").select(F.explode(text.terms(F.col("text"), lemma=True)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def description_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def description_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sanitized_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("[00:10 - 00:15]  "), F.when(F.col("doc_id") % 2 == 0, F.lit("In the frame: ")).otherwise(F.lit("- ")), F.element_at(F.split("text", " "), 1), F.lit(" the The the THE "), F.substring("text", 1, 300))
+    raw = F.concat(F.lit("[00:10 - 00:15]  "), F.when(F.col("doc_id") % 2 == 0, F.lit("In the frame: ")).otherwise(F.lit("- ")), F.element_at(F.split("text", " "), 1), F.lit(" the The the THE "), "text")
     return _texts(spark, sf_dir).select("doc_id", text.caption(raw).alias("caption"))
 
 
@@ -56,8 +57,8 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit(" ."), F.substring("text", 1, 40), F.lit("_ "))
-    return table(spark, sf_dir, "documents").select("doc_id", text.tag(raw).alias("tag"), text.slug(raw).alias("slug"))
+    raw = F.concat(F.lit(" ."), "text", F.lit("_ "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha1(text.tag(raw)).alias("tag"), F.sha1(text.slug(raw)).alias("slug"))
 
 
 def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +114,7 @@ def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attention_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).where(F.col("anomaly_flag") | F.col("risk_level").isin("attention", "warning", "critical")).select("doc_id", "risk_level")
+    return segments(spark, sf_dir).where(rules.needs_review(F.col("anomaly_flag"), F.col("risk_level"))).select("doc_id", "risk_level")
 
 
 def guard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,24 +134,33 @@ def bad_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validated_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = F.array(F.lit(" a  b "), F.lit("a b"), F.lit(""), F.col("lang"), F.lit("c"), F.lit("d"), F.lit("e"))
-    g = rules.guarded_observation(F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.substring("text", 1, 50)), F.col("doc_id") % 2 == 0, F.col("doc_id") / 500.0 - 0.2, notes)
+    g = rules.guarded_observation(F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.col("text")), F.col("doc_id") % 2 == 0, F.col("doc_id") / 500.0 - 0.2, notes)
     return _texts(spark, sf_dir).select("doc_id", g["description"].alias("description"), g["flag"].alias("flag"), F.round(g["confidence"], 6).alias("confidence"), F.array_join(g["notes"], "|").alias("notes"))
 
 
 def validated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blank = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.substring("text", 1, 20))
+    blank = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("text"))
     g = rules.guarded_segment(blank, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("n "), F.col("lang"))), F.lit("raw"), F.col("doc_id") % 2 == 0, F.lit(0.9), F.array("lang"), F.split("text", " "), F.array("lang", "lang"))
     level = rules.member_or(F.when(F.col("doc_id") % 2 == 0, F.lit("critical")).otherwise(F.lit("odd")), rules.RISKS, "normal")
     return _texts(spark, sf_dir).select("doc_id", g["description"].alias("description"), g["normalized_caption"].alias("caption"), g["confidence"].alias("confidence"), F.array_join(g["tags"], "|").alias("tags"), F.array_join(g["objects"], "|").alias("objects"), level.alias("level"))
 
 
 def valid_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptions that can serve as queries: 35 characters or more that don't begin with a colon."""
-    t = scalars.clean(F.col("text"))
-    return table(spark, sf_dir, "documents").where((F.length(t) >= 35) & ~t.startswith(":")).select("doc_id", F.length(t).alias("length"))
+    """Descriptions, with what replies leave around them, cleaned; those that can serve as queries."""
+    k = F.col("doc_id") % 7
+    raw = F.when(k == 0, F.concat(F.lit("```json "), "text", F.lit(" ```"))).when(k == 1, F.concat(F.lit('"): "'), "text", F.lit('".'))).when(k == 2, F.concat(F.lit('\u201d: "'), "text")).when(k == 3, "the scene").when(k == 4, F.concat(F.lit(": "), "text")).when(k == 5, rules.EMPTY_DESCRIPTIONS[0]).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", rules.clean_description(raw).alias("d"))
+    return rows.select("doc_id", F.sha1("d").alias("sha1"), rules.valid_description(F.col("d")).alias("valid"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, stopword_filtered_counts, lemma_en_counts, description_overlap, sanitized_captions, json_salvage, hashes, identifiers, display_formats, html_escapes, loose_casts, search_documents, translation_routes, enrich_rules, risk_levels, attention_candidates, guard_query, redact_output, bad_generations, validated_observations, validated_segments, valid_descriptions)}
+def translation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of a translation between any two of a few languages."""
+    codes = spark.sql("SELECT explode(array('en', ' RU', 'kk', 'kz', 'de')) AS code")
+    pairs = codes.select(F.col("code").alias("source")).join(codes.select(F.col("code").alias("target")))
+    return pairs.select("source", "target", F.concat_ws(",", translate.route(F.col("source"), F.col("target"))).alias("route"))
+
+
+QUERIES = {f.__name__: f for f in (tokenize_counts, stopword_filtered_counts, lemma_en_counts, description_overlap, sanitized_captions, json_salvage, hashes, identifiers, display_formats, html_escapes, loose_casts, search_documents, translation_routes, enrich_rules, risk_levels, attention_candidates, guard_query, redact_output, bad_generations, validated_observations, validated_segments, valid_descriptions, translation_pairs)}
 
 _CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _LEMMA = "CASE WHEN suffix(x, 'ing') AND length(x) > 5 THEN x[:-4] WHEN suffix(x, 'ed') AND length(x) > 4 THEN x[:-3] WHEN suffix(x, 'es') AND length(x) > 4 THEN x[:-3] WHEN suffix(x, 's') AND length(x) > 3 THEN x[:-2] ELSE x END"
@@ -168,12 +178,12 @@ def _redacted(c: str) -> str:
 _WS = "' \t\n\x0b\x0c\r'"
 ORACLES = {
     "tokenize_counts": "SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: length(x) > 1)) AS n_plain FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS w FROM documents)",
-    "stopword_filtered_counts": f"SELECT term, count(*) AS n FROM (SELECT unnest({terms_sql('text')}) AS term FROM documents) GROUP BY term HAVING count(*) >= 10",
-    "lemma_en_counts": f"SELECT term, count(*) AS n FROM (SELECT unnest(list_transform({terms_sql('text')}, lambda x: {_LEMMA})) AS term FROM documents WHERE lang = 'en') GROUP BY term HAVING count(*) >= 10",
+    "stopword_filtered_counts": f"SELECT term, count(*) AS n FROM (SELECT unnest({terms_sql('text')}) AS term FROM documents) GROUP BY term",
+    "lemma_en_counts": f"SELECT term, count(*) AS n FROM (SELECT unnest(list_transform({terms_sql('text')}, lambda x: {_LEMMA})) AS term FROM documents) GROUP BY term",
     "description_overlap": f"""WITH {_TEXTS}, a AS (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: length(x) > 2)) AS a FROM t),
         b AS (SELECT *, lag(a) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM a)
         SELECT doc_id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) ELSE 0 END, 6) AS overlap FROM b WHERE b IS NOT NULL""",
-    "sanitized_captions": f"""WITH {_TEXTS}, r AS (SELECT doc_id, '[00:10 - 00:15]  ' || CASE WHEN doc_id % 2 = 0 THEN 'In the frame: ' ELSE '- ' END || string_split(text, ' ')[1] || ' the The the THE ' || substr(text, 1, 300) AS x FROM t),
+    "sanitized_captions": f"""WITH {_TEXTS}, r AS (SELECT doc_id, '[00:10 - 00:15]  ' || CASE WHEN doc_id % 2 = 0 THEN 'In the frame: ' ELSE '- ' END || string_split(text, ' ')[1] || ' the The the THE ' || text AS x FROM t),
         a AS (SELECT doc_id, {_CLEAN.format("regexp_replace(x, '^" + chr(92) + "[[0-9:" + chr(92) + "s" + chr(92) + "-]+" + chr(92) + "]" + chr(92) + "s*', '')")} AS x FROM r),
         b AS (SELECT doc_id, trim(regexp_replace(x, '^({"|".join(text.OPENERS)})\\s*[:,\\-]?\\s*', '', 'i')) AS x FROM a),
         c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(x, '^\\s*[-*]+\\s*', ''), '^\\s*\\(?[0-9]+\\)?[.)]\\s*', '')) AS x FROM b),
@@ -183,7 +193,7 @@ ORACLES = {
         SELECT doc_id, CASE WHEN x <> '' AND NOT regexp_matches(x, '[.!?]$') THEN x || '.' ELSE x END AS caption FROM f""",
     "json_salvage": "SELECT event_id, event_id % 4 < 3 AS found, CASE WHEN event_id % 4 < 3 THEN json_extract_string(coalesce(props, '{}'), '$.k') END AS k FROM events",
     "hashes": "SELECT doc_id, sha1(text) AS sha1, sha1(text)[:16] AS fingerprint, sha256(text) AS sha256 FROM documents",
-    "identifiers": "SELECT doc_id, regexp_replace(regexp_replace(trim(r), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS tag, regexp_replace(regexp_replace(lower(trim(r)), '[^\\p{L}\\p{N}_-]', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM (SELECT doc_id, ' .' || substr(text, 1, 40) || '_ ' AS r FROM documents)",
+    "identifiers": "SELECT doc_id, sha1(regexp_replace(regexp_replace(trim(r), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g')) AS tag, sha1(regexp_replace(regexp_replace(lower(trim(r)), '[^\\p{L}\\p{N}_-]', '_', 'g'), '^_+|_+$', '', 'g')) AS slug FROM (SELECT doc_id, ' .' || text || '_ ' AS r FROM documents)",
     "display_formats": f"""WITH {_TEXTS}, s AS (SELECT *, CAST(round_even(n_chars / 2.0, 0) AS BIGINT) AS s, n_chars * 1021 AS b, {_CLEAN.format("text")} AS c FROM t)
         SELECT doc_id, printf('%d:%02d', s // 60, s % 60) AS mmss, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS hms,
                CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.2f KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.2f MB', b / 1048576.0::DOUBLE) ELSE printf('%.2f GB', b / 1073741824.0::DOUBLE) END AS bytes,
@@ -202,11 +212,16 @@ ORACLES = {
     "guard_query": f"WITH {_TEXTS}, c AS (SELECT doc_id, lower({_CLEAN.format('text')}) AS c FROM t), h AS (SELECT doc_id, ({_BLOCK}) AS h FROM c) SELECT doc_id, NOT h AS allowed, CASE WHEN h THEN 'blocked_phrase' ELSE 'ok' END AS reason, CASE WHEN h THEN 'prompt_injection' ELSE '' END AS labels FROM h",
     "redact_output": f"WITH {_TEXTS}, r AS (SELECT doc_id, text || ' API KEY, api key and Password' AS x FROM t), c AS (SELECT *, lower({_CLEAN.format('x')}) AS c FROM r) SELECT doc_id, CASE WHEN {_RED} THEN 'redacted_output' ELSE 'ok' END AS reason, sha1({_redacted('x')}) AS sha1 FROM c",
     "bad_generations": f"WITH {_TEXTS} SELECT doc_id, doc_id % 5 <= 1 OR (" + " OR ".join("contains(lower(text), '" + p.replace("'", "''") + "')" for p in rules.BAD_OUTPUT) + ") AS bad FROM t",
-    "validated_observations": f"""WITH {_TEXTS} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{rules.NO_ACTIVITY}' ELSE {_CLEAN.format("substr(text, 1, 50)")} END AS description, doc_id % 2 = 0 AS flag,
+    "validated_observations": f"""WITH {_TEXTS} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{rules.NO_ACTIVITY}' ELSE {_CLEAN.format("text")} END AS description, doc_id % 2 = 0 AS flag,
         round(least(greatest(0, least(1, doc_id / 500.0::DOUBLE - 0.2)), CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0.5 END), 6) AS confidence, CASE WHEN doc_id % 2 = 0 THEN 'a b|' || lang || '|c|d' ELSE '' END AS notes FROM t""",
-    "validated_segments": f"""WITH {_TEXTS}, w AS (SELECT *, {_CLEAN.format("substr(text, 1, 20)")} AS d, list_filter(list_transform(string_split(text, ' '), lambda x: {_CLEAN.format("x")}), lambda x: x <> '') AS l FROM t),
+    "validated_segments": f"""WITH {_TEXTS}, w AS (SELECT *, {_CLEAN.format("text")} AS d, list_filter(list_transform(string_split(text, ' '), lambda x: {_CLEAN.format("x")}), lambda x: x <> '') AS l FROM t),
         u AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS f FROM w)
         SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN d WHEN doc_id % 2 = 0 THEN 'n ' || lang ELSE 'raw' END AS description, CASE WHEN doc_id % 2 = 0 THEN 'n ' || lang WHEN doc_id % 3 > 0 THEN d ELSE 'raw' END AS caption,
         CASE WHEN doc_id % 2 = 0 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence, array_to_string(f[:8], '|') AS tags, lang AS objects, CASE WHEN doc_id % 2 = 0 THEN 'critical' ELSE 'normal' END AS level FROM u""",
-    "valid_descriptions": f"WITH c AS (SELECT doc_id, {_CLEAN.format('text')} AS c FROM documents) SELECT doc_id, length(c) AS length FROM c WHERE length(c) >= 35 AND NOT starts_with(c, ':')",
+    "valid_descriptions": f"""WITH r AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN text || ' ' WHEN 1 THEN '"): "' || text || '".' WHEN 2 THEN '\u201d: "' || text WHEN 3 THEN 'the scene' WHEN 4 THEN ': ' || text WHEN 5 THEN '{rules.EMPTY_DESCRIPTIONS[0]}' ELSE text END AS x FROM documents),
+        c AS (SELECT doc_id, {_CLEAN.format("x")} AS c FROM r), h AS (SELECT doc_id, trim(CASE WHEN starts_with(c, '"): "') OR starts_with(c, '\u201d: "') THEN c[5:] ELSE c END, ' "') AS c FROM c),
+        e AS (SELECT doc_id, CASE WHEN suffix(c, '".') THEN c[:-3] || '.' ELSE c END AS c FROM h)
+        SELECT doc_id, sha1(c) AS sha1, length(c) >= 35 AND c NOT IN ('{rules.EMPTY_DESCRIPTIONS[0]}', 'the scene', 'the image') AND NOT starts_with(c, ':') AS valid FROM e""",
+    "translation_pairs": """WITH c AS (SELECT unnest(['en', ' RU', 'kk', 'kz', 'de']) AS code), n AS (SELECT code, CASE lower(trim(code)) WHEN 'kk' THEN 'kz' ELSE lower(trim(code)) END AS n FROM c)
+        SELECT a.code AS source, b.code AS target, CASE WHEN a.n = b.n OR 'de' IN (a.n, b.n) THEN '' WHEN a.n || b.n IN ('enkz', 'kzen') THEN a.n || '>ru,ru>' || b.n ELSE a.n || '>' || b.n END AS route FROM n a, n b""",
 }

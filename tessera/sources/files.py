@@ -28,10 +28,20 @@ def fingerprint() -> Column:
     return F.concat_ws(":", F.col("_metadata.file_size").cast("string"), F.unix_micros(F.col("_metadata.file_modification_time")).cast("string"))
 
 
-def read_gz(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of gzip JSON lines with path and fingerprint; lines that aren't objects are passed over."""
-    rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where("_bad is null").select("*", F.col("_metadata.file_path").alias("path"), fingerprint().alias("fingerprint")).drop("_bad")
+def read_gz(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+    """Rows of gzip JSON lines with path and fingerprint; blank lines and other values than objects are passed
+    over; a malformed line is an error, or with strict off is passed over too."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path"), fingerprint().alias("fingerprint")).where("line <> ''")
+    value = F.try_parse_json("line")
+    checked = F.when(value.isNull(), F.raise_error(F.concat(F.lit("malformed line in "), F.col("path")))).otherwise(F.col("line")) if strict else F.col("line")
+    rows = lines.withColumn("line", checked).where(value.isNotNull() & (F.schema_of_variant(value).startswith("OBJECT")))
+    return rows.select(F.from_json("line", schema).alias("_row"), "path", "fingerprint").select("_row.*", "path", "fingerprint")
+
+
+def segment_glob(root: str, language: str, variant: str | None = None) -> str:
+    """The pattern of the segment files of a language, of the base runs or of a variant."""
+    part = f"outputs/variants/{variant}" if variant else "outputs"
+    return f"{root}/*/{part}/segments/{language}.jsonl.{{gz,zst}}"
 
 
 def read_zst(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
