@@ -108,7 +108,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int | None = None, digits:
 
 def _products(vectors: DataFrame, asked: pa.Table, kind: str, k: int | None, digits: int | None) -> DataFrame:
     spark = vectors.sparkSession
-    matrix = np.array(asked.column("vector").to_pylist(), float).reshape(asked.num_rows, -1)
+    matrix = np.array(asked.column("vector").to_pylist(), float) if asked.num_rows else np.zeros((0, 0))
     shared = spark.sparkContext.broadcast((asked.column("query_id").combine_chunks(), matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,10 +31,11 @@ def fingerprint() -> Column:
 def read_gz(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Rows of gzip JSON lines with path and fingerprint; blank lines and other values than objects are passed
     over; a malformed line is an error, or with strict off is passed over too."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path"), fingerprint().alias("fingerprint")).where("line <> ''")
-    value = F.try_parse_json("line")
-    checked = F.when(value.isNull(), F.raise_error(F.concat(F.lit("malformed line in "), F.col("path")))).otherwise(F.col("line")) if strict else F.col("line")
-    rows = lines.withColumn("line", checked).where(value.isNotNull() & (F.schema_of_variant(value).startswith("OBJECT")))
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path"), fingerprint().alias("fingerprint"))
+    value, full = F.try_parse_json("line"), F.col("line") != ""
+    wrong = F.raise_error(F.concat(F.lit("malformed line in "), F.col("path"))).cast("boolean") if strict else F.lit(False)
+    # one condition, so that no part of it is tried before a blank line is passed over
+    rows = lines.where(F.when(~full, False).when(value.isNull(), wrong).otherwise(F.schema_of_variant(value).startswith("OBJECT")))
     return rows.select(F.from_json("line", schema).alias("_row"), "path", "fingerprint").select("_row.*", "path", "fingerprint")
 
 

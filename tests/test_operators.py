@@ -21,6 +21,25 @@ def test_semantic_merge_keeps_running_direction(spark):
     assert got == [("v", 0.0, 2.0, [0, 1]), ("v", 2.5, 3.0, [2]), ("v", 9.0, 10.0, [3]), ("w", 0.0, 1.0, [0]), ("w", 1.0, 2.0, [1])]
 
 
+def test_semantic_merge_compares_directions(spark):
+    """Lengths don't matter, zero vectors are unlike all, and what observations tell is merged too."""
+    rows = spark.createDataFrame([("v", 0.0, 1.0, 0, [0.5, 0.0], "[00:01] a", False, 0.2, ["x"]), ("v", 1.0, 2.0, 1, [0.5, 0.0], "b", True, 0.1, ["y", "x"]), ("v", 2.0, 3.0, 2, [0.0, 0.0], "c", False, None, None)], "video_id string, start_sec double, end_sec double, pos long, vector array<double>, description string, anomaly_flag boolean, anomaly_confidence double, anomaly_notes array<string>")
+    got = sorted(map(tuple, timeline.merged_by_vector(rows, 0.9, 1.0).collect()))
+    assert got == [("v", 0.0, 2.0, "a", True, 0.2, ["x", "y"], [0, 1]), ("v", 2.0, 3.0, "c", False, 0.0, [], [2])]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.floats(0, 30, width=16), min_size=1, max_size=25))
+def test_thinning_of_videos_is_that_of_clips(spark, times):
+    rows = spark.createDataFrame([("v", float(t), i) for i, t in enumerate(sorted(times))], "video_id string, t double, id long").coalesce(1)
+    whole = sorted(r.id for r in timeline.thinned_frames(rows, 0.3).collect())
+    frames = rows.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("f"))
+    assert whole == sorted(x.id for x in frames.select(timeline.thinned(F.col("f"), 0.3).alias("f")).first().f)
+    for most in (1, 3, 7):
+        ids = frames.select(timeline.evenly(F.transform("f", lambda x: x["id"]), most).alias("i")).first().i
+        assert sorted(r.id for r in timeline.even_frames(rows, most).collect()) == sorted(ids)
+
+
 def test_change_gate_warms_up(spark):
     rows = [("v", float(i), i, float(v), 50.0, 50.0) for i, v in enumerate([0] * 10 + [9, 9, 200])]
     got = timeline.change_gate(spark.createDataFrame(rows, "video_id string, t double, id long, value double, brightness double, sharpness double"), 20.0, 10.0, 10.0).orderBy("id").collect()
@@ -48,6 +67,91 @@ def test_missing_dense_scores_rank_last(spark):
     assert got == pytest.approx({1: 0.55 / 62 + 0.45 / 61, 2: 0.55 / 61 + 0.45 / 62})
 
 
+def test_heuristic_bonus_is_added_as_it_is(spark):
+    hits = spark.createDataFrame([(1, 10, 1, 1.0, 0.0), (1, 11, 2, 0.5, 0.6), (1, 12, 3, 0.4, 9.0)], "query_id int, doc_id long, rank int, score double, gain double")
+    order = [r.doc_id for r in search.reranked(hits, "gain", 1, 2).orderBy("position").collect()]
+    assert order == [11, 10, 12]
+    assert [r.doc_id for r in search.reranked(hits, "gain", 1, 2, "model").orderBy("position").collect()] == [10, 11, 12]
+    with pytest.raises(ValueError, match="reranking"):
+        search.reranked(hits, "gain", 1, 2, "other")
+
+
+def test_candidates_get_both_scores(spark):
+    found = spark.createDataFrame([(1, 10), (1, 11), (1, 12)], "query_id int, doc_id long")
+    sparse = spark.createDataFrame([(1, 10, 2.0), (1, 11, 1.0), (1, 99, 7.0)], "query_id int, doc_id long, score double")
+    vectors = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 0.0]), (12, [0.0, 3.0])], "doc_id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [2.0, 1.0])], "query_id int, vector array<double>")
+    got = {r.doc_id: (r.sparse, r.dense) for r in search.gathered(found, sparse, vectors, queries).collect()}
+    assert got == {10: (2.0, 2.0), 11: (1.0, None), 12: (0.0, 3.0)}
+
+
+def test_sparse_candidates_with_score_zero(spark):
+    scores = spark.createDataFrame([(1, 5, 2.0), (1, 99, 3.0)], "query_id int, doc_id long, score double")
+    docs = spark.createDataFrame([(i,) for i in (3, 4, 5, 6)], "doc_id long")
+    queries = spark.createDataFrame([(1,), (2,)], "query_id int")
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in search.sparse_top(scores, docs, queries, 3).collect()}
+    assert got == {(1, 1): (5, 2.0), (1, 2): (3, 0.0), (1, 3): (4, 0.0), (2, 1): (3, 0.0), (2, 2): (4, 0.0), (2, 3): (5, 0.0)}
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    """Many blocks of queries and batches of vectors give what one product gives."""
+    rng = np.random.default_rng(4)
+    v, q = rng.normal(size=(40, 4)).round(1), rng.normal(size=(6, 4)).round(1)
+    v[7] = 0
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "doc_id long, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, vector array<double>")
+    monkeypatch.setattr(search, "QUERY_BYTES", 64)
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in search.dense(vectors, queries, 3, 6).collect())
+    want = []
+    for i, row in enumerate(np.round(q @ v.T, 6)):
+        best = sorted((x for x in range(40) if x != 7), key=lambda x: (-row[x], x))[:3]
+        want += [(i, r + 1, x) for r, x in enumerate(best)]
+    assert got == want and search.dense(vectors, queries).count() == 6 * 39
+
+
+def test_search_settings(spark):
+    with pytest.raises(ValueError, match="dedupe"):
+        search.Settings(dedupe="none")
+    with pytest.raises(ValueError, match="reranker"):
+        search.search(None, spark.range(1), None, spark.range(1), search.Settings(rerank="model"))
+    assert not search.Settings(k_sparse=0).sparse_on and not search.Settings(w_dense=0.0).dense_on
+
+
+def test_search_by_a_model(spark):
+    docs = spark.createDataFrame([(1, "red cat"), (2, "cat cat"), (3, "dog")], "doc_id long, description string").select("*", F.lit("v").alias("video_id"), F.col("doc_id").cast("double").alias("start_sec"), (F.col("doc_id") + 0.5).alias("end_sec"))
+    index = search.build_index(docs.select("doc_id", F.col("description").alias("text")))
+    queries = spark.createDataFrame([(1, "cat", None)], "query_id long, text string, vector array<double>")
+    how = search.Settings(top_k=2, k_sparse=2, w_dense=0.0, rerank="model")
+    hits = search.search(index, docs, None, queries, how, lambda q, d: F.when(d.contains("red"), 100.0).otherwise(0.0)).orderBy("position").collect()
+    assert [r.doc_id for r in hits] == [1, 2] and hits[0].score < hits[1].score
+
+
+def test_imports_and_packages_are_whole(spark):
+    from tessera.operators import catalog, experiments
+
+    manifest = spark.createDataFrame([("a", "/1"), ("b", "/2")], "video_id string, source_path string")
+    none = spark.createDataFrame([], "video_id string")
+    with pytest.raises(Exception, match="missing sources: /2"):
+        catalog.importable(manifest, spark.createDataFrame([("/1",)], "path string"), none).collect()
+    wanted = spark.createDataFrame([("t", "a.csv")], "label string, name string")
+    for paths, wrong in ((["x/a.csv", "y/a.csv"], "ambiguous"), (["x/b.csv"], "missing or empty")):
+        with pytest.raises(Exception, match=wrong):
+            catalog.package_list(wanted, spark.createDataFrame([(x, 1, "h") for x in paths], "path string, length long, sha256 string")).collect()
+    with pytest.raises(Exception, match="no archive metrics"):
+        experiments.with_archive(manifest, manifest.limit(0), ["video_id"], ["source_path"], "source_path").collect()
+    with pytest.raises(Exception, match="unknown dataset"):
+        manifest.select(experiments.dataset_by_prefix(F.col("video_id"), {"x_": "x"})).collect()
+
+
+def test_aligned_index(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    ids = spark.createDataFrame([(0, 2), (1, 1), (2, 9)], "place int, doc_id long")
+    vectors = spark.createDataFrame([(1, [1.0], True), (2, [1.0], False)], "doc_id long, vector array<double>, valid boolean")
+    assert [(r.doc_id, r.valid) for r in search.aligned(docs, ids, vectors).orderBy("place").collect()] == [(2, False), (1, True)]
+    short = vectors.withColumn("valid", F.when(F.col("doc_id") == 1, False))
+    assert all(r.valid for r in search.aligned(docs, ids, short).collect())
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     index = search.build_index(none)
@@ -90,12 +194,18 @@ def test_segment_files(spark, tmp_path):
         f.write("\n".join(lines))
     (folder / "en.jsonl.zst").write_bytes(zstandard.compress("\n".join(lines).encode()))
     schema = "segment_id string, start_sec double"
-    gz = files.read_gz(spark, str(folder / "*.gz"), schema).where("segment_id is not null")
+    gz = files.read_gz(spark, str(folder / "*.gz"), schema)
     zst = files.read_zst(spark, str(folder / "*.zst"), schema)
     assert [r.segment_id for r in gz.orderBy("segment_id").collect()] == ["s1", "s2"]
     assert [(r.segment_id, r.start_sec, r.pos) for r in zst.orderBy("pos").collect()] == [("s1", 1.5, 0), ("s2", None, 3)]
     place = zst.select(files.source_of(F.col("path")).alias("p")).first().p
     assert (place.video_id, place.variant) == ("vid1", "alt")
+    assert sorted(r.segment_id for r in files.read_gz(spark, files.segment_glob(str(tmp_path), "en", "alt").replace("{gz,zst}", "gz"), schema).collect()) == ["s1", "s2"]
+    with gzip.open(folder / "de.jsonl.gz", "wt") as f:
+        f.write('{"segment_id": "s3"}\n{broken')
+    with pytest.raises(Exception, match="malformed"):
+        files.read_gz(spark, str(folder / "de.jsonl.gz"), schema).collect()
+    assert [r.segment_id for r in files.read_gz(spark, str(folder / "de.jsonl.gz"), schema, strict=False).collect()] == ["s3"]
     both = gz.select("segment_id", "path").union(zst.select("segment_id", "path"))
     assert all(r.path.endswith(".zst") for r in files.prefer_zst(both, "segment_id").collect())
 
