@@ -28,6 +28,61 @@ def run_metrics(runs: DataFrame) -> DataFrame:
     )
 
 
+# The numbers of a run's flat row, by the document that they are read from.
+OWN_NUMBERS = ("video_duration_sec", "num_frames", "num_clips", "avg_clip_duration_sec", "preprocess_time_sec", "model_time_sec", "postprocess_time_sec", "total_time_sec")
+EXTRA_NUMBERS = ("decode_time_sec", "source_fps", "processed_fps", "dark_drop_ratio", "lazy_drop_ratio", "blur_flag_ratio")
+CLIP_NUMBERS = {"clip_frames_min": "frames_min", "clip_frames_max": "frames_max", "clip_frames_avg": "frames_avg"}
+BATCH_NUMBERS = {"batch_count": "actual_batches", "batch_clips_avg": "actual_clips_avg", "batch_padding_ratio": "actual_padding_ratio", "batch_oom_retry_count": "oom_retry_count", "model_frames_per_sec": "model_frames_per_sec", "model_clips_per_sec": "model_clips_per_sec"}
+TRANSLATION_SUMS = {"translation_segments_total": "segments_total", "translation_selected_candidates_total": "selected_candidates", "translation_selected_post_edited_total": "selected_post_edited"}
+TIMELINE_NUMBERS = ("final_segments", "compression_ratio", "dd", "mean_segment_duration", "tcs", "srr", "sns", "sdi")
+
+
+def flat_row(runs: DataFrame, timelines: DataFrame) -> DataFrame:
+    """The flat row of each run: numbers out of its documents (text maps metrics, extra, clip_stats, batching), sums
+    over its translations (map language -> struct(time_sec, segments_total, selected_candidates, selected_post_edited,
+    summary_post_edited)) and over indexing (map language -> seconds), throughput and shares in percent, and the
+    metrics of its timeline (video_id, variant, ...), null where there is none. runs also has video_id, variant,
+    profile, config_fingerprint, run_language and languages (array)."""
+    from tessera.functions.scalars import loose_float
+    from tessera.operators.catalog import preferred_language
+
+    def number(document: str, name: str) -> Column:
+        return loose_float(F.try_element_at(F.col(document), F.lit(name)))
+
+    told = F.map_values(F.coalesce("translations", F.create_map().cast(runs.schema["translations"].dataType)))
+    times = F.filter(F.transform(told, lambda x: x["time_sec"]), lambda x: x.isNotNull())
+    indexed = F.filter(F.map_values(F.coalesce("indexing", F.create_map().cast("map<string,double>"))), lambda x: x.isNotNull())
+
+    def total(xs: Column) -> Column:
+        return F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda s, x: s + x))
+
+    def added(name: str) -> Column:
+        return F.aggregate(told, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x[name].cast("long"), F.lit(0)))
+
+    rows = runs.select(
+        "video_id",
+        preferred_language(F.try_element_at("metrics", F.lit("language")), F.col("run_language")).alias("language"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("profile", "variant", "config_fingerprint")],
+        F.array_join(F.array_sort("languages"), ",").alias("languages"),
+        *[number("metrics", c).alias(c) for c in OWN_NUMBERS],
+        *[number("extra", c).alias(c) for c in EXTRA_NUMBERS],
+        F.try_element_at("extra", F.lit("anonymized")).alias("anonymized"),
+        *[number("clip_stats", old).alias(new) for new, old in CLIP_NUMBERS.items()],
+        total(times).alias("translation_total_time_sec"),
+        F.size(told).alias("translation_languages_count"),
+        *[added(old).alias(new) for new, old in TRANSLATION_SUMS.items()],
+        F.size(F.filter(told, lambda x: F.coalesce(x["summary_post_edited"], F.lit(False)))).alias("translation_summary_post_edited_count"),
+        total(indexed).alias("index_total_time_sec"),
+        F.coalesce(F.size(F.map_keys("indexing")), F.lit(0)).alias("index_languages_count"),
+        *[number("batching", old).alias(new) for new, old in BATCH_NUMBERS.items()],
+    )
+    whole = F.col("total_time_sec")
+    rates = {"throughput_frames_per_sec": "num_frames", "throughput_clips_per_sec": "num_clips", "video_seconds_per_compute_second": "video_duration_sec"}
+    rows = rows.withColumns({new: safe_divide(F.col(old), whole) for new, old in rates.items()} | {f"{c}_share_pct": 100.0 * safe_divide(F.col(f"{c}_time_sec"), whole) for c in ("preprocess", "model", "postprocess")})
+    shape = timelines.select("video_id", F.coalesce("variant", F.lit("")).alias("variant"), *TIMELINE_NUMBERS)
+    return rows.join(shape, ["video_id", "variant"], "left")
+
+
 def duration(own: Column, last_end: Column) -> Column:
     """A video's duration: its own if that is positive, else the end of its last segment, else 0."""
     return F.coalesce(F.when(own > 0, own), last_end, F.lit(0.0))
