@@ -13,7 +13,9 @@ target to the word, and slots are of about equal size where a source has many of
 Sums along a source, and ranks of slots, are cut into cells first (common.running_sum), so a source
 with a third of all rows is many tasks' work. Sources are a short list next to their documents;
 windows over them run in one task. Null texts and texts without words have size 0 and are never
-taken. Rows that are alike in every column share what both get in either order.
+taken. Every row is a document of its own, whatever doc_ids repeat or are null; rows of one doc_id,
+source and size come in the order of their places in the files. An empty table gives no rows, and
+columns besides doc_id, text and source are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cells_for, running_sum, stored
+from tessera.llm.common import ROW, cells_for, located, running_sum, stored
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -64,7 +66,7 @@ def slots_of(plan: DataFrame, slots: int) -> DataFrame:
     point = ((F.col("id") + 1) * GOLDEN % (1 << 32)) / float(1 << 32)
     points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
     owned = points.join(cells, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "sid")
-    ranked = stored(running_sum(owned, ["sid"], ["slot"], F.col("slot") / slots, F.lit(1), cells_for(slots, 4096), "k"), "mix-owned")
+    ranked = stored(running_sum(owned, ["sid"], ["slot"], F.col("slot") / slots, F.lit(1), cells_for(slots), "k"), "mix-owned")
     # Written, so that the few sources between two points are found without a shuffle on the source.
     held = stored(ranked.select("sid").distinct(), "mix-held")
     dealt = F.shiftright((F.col("sid") + 1) * GOLDEN % (1 << 32) * slots, 32)
@@ -73,16 +75,16 @@ def slots_of(plan: DataFrame, slots: int) -> DataFrame:
 
 
 def scheduled(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The documents (key, source, size, source_size, target, sid, start) and the mix
-    (slot, sid, start, epoch, skip, words): slot takes these words of the document that starts there."""
+    """The documents of a located() table (ROW, key, source, size, source_size, target, sid, start) and the
+    mix (slot, sid, start, epoch, skip, words): slot takes these words of the document that starts there."""
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    u = F.pmod(F.xxhash64(F.lit(SEED), key, source), F.lit(1 << 31)) / float(1 << 31)
-    sized = stored(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words.cast("long").alias("size"), u.alias("u")), "mix-sizes")
+    u = F.pmod(F.xxhash64(F.lit(SEED), key, source, ROW[1]), F.lit(1 << 31)) / float(1 << 31)
+    sized = stored(docs.select(*ROW, F.col(key).alias("doc_id"), F.col(source).alias("source"), words.cast("long").alias("size"), u.alias("u")), "mix-sizes")
     total, rows = sized.agg(F.sum("size"), F.count(F.lit(1))).first()
     slots = min(SLOTS, max(1, total or 0))
     plan = stored(targets(sized), "mix-targets")
     named = sized.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = stored(running_sum(named, ["sid"], ["u", "doc_id", "size"], F.col("u"), F.col("size"), cells_for(rows), "start"), "mix-placed")
+    placed = stored(running_sum(named, ["sid"], ["u", "doc_id", "size", *ROW], F.col("u"), F.col("size"), cells_for(rows), "start"), "mix-placed")
     schedule = stored(slots_of(plan, slots), "mix-slots")
     # written, so that its size is known: next to documents it is short, and no source meets in one task
     goal = F.greatest(F.lit(1), F.round("target")).cast("long")
@@ -99,7 +101,7 @@ def scheduled(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """What the mix takes of every document."""
-    placed, mix = scheduled(docs)
+    placed, mix = scheduled(located(docs))
     taken = mix.groupBy(F.col("sid").alias("_sid"), F.col("start").alias("_start")).agg(F.sum("words").alias("taken"))
     joined = placed.join(taken, (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -107,9 +109,10 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def drawn(docs: DataFrame) -> DataFrame:
     """docs as the mix draws them: a row for each time that a document is begun; what the mix doesn't
-    reach is left out. Key and source tell which document is meant."""
-    placed, mix = scheduled(docs)
-    times = mix.where("skip = 0").select(F.col("sid").alias("_sid"), F.col("start").alias("_start"), "epoch")
-    begun = placed.where("size > 0").join(times, (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start"))).groupBy("doc_id").agg(F.countDistinct("epoch").alias("_times")).withColumnRenamed("doc_id", "_key")
-    again = docs.join(begun, docs["doc_id"].eqNullSafe(F.col("_key")))
-    return again.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_turn")).drop("_turn")
+    reach is left out."""
+    rows = located(docs)
+    placed, mix = scheduled(rows)
+    times = mix.where("skip = 0").groupBy(F.col("sid").alias("_sid"), F.col("start").alias("_start")).agg(F.countDistinct("epoch").cast("int").alias("_tessera_times"))
+    begun = placed.where("size > 0").join(times, (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start"))).select(*ROW, "_tessera_times")
+    again = rows.join(begun, ROW).withColumn("_tessera_turn", F.explode(F.sequence(F.lit(1), F.col("_tessera_times"))))
+    return again.select(*[again[f"`{c}`"] for c in docs.columns])
