@@ -80,7 +80,7 @@ def semantic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_gated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
     frames = obs.select("video_id", "t", F.col("obs_id").alias("id"), "value", F.pmod("obs_id", F.lit(97)).cast("double").alias("brightness"), F.pmod("obs_id", F.lit(89)).cast("double").alias("sharpness"))
-    return timeline.change_gate(frames, 20.0, 10.0, 10.0)
+    return timeline.change_gate(frames, 20.0, 10.0, 10.0).withColumn("threshold", F.round("threshold", 6))
 
 
 def _clip_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +203,7 @@ ORACLES = {
     "text_merge": f"WITH RECURSIVE {_TEXT_MERGE} SELECT video_id, round(start_sec, 3) AS start_sec, round(end_sec, 3) AS end_sec, flag AS anomaly_flag, round(conf, 6) AS confidence, members FROM merged",
     "semantic_merge": f"""WITH RECURSIVE {_SEMANTIC} SELECT video_id, start_sec, end_sec, description, flag AS anomaly_flag, round(conf, 6) AS confidence, array_to_string(notes, ',') AS notes, members
         FROM (SELECT *, row_number() OVER (PARTITION BY video_id, seg ORDER BY pos DESC) AS n FROM s) WHERE n = 1""",
-    "change_gated_frames": f"WITH RECURSIVE {_GATE} SELECT video_id, id, state, lim AS threshold FROM s",
+    "change_gated_frames": f"WITH RECURSIVE {_GATE} SELECT video_id, id, state, round(lim, 6) AS threshold FROM s",
     "clip_batches": f"{_WINDOWS}, {_PACKED} SELECT video_id, clip, batch FROM p",
     "batch_payloads": f"""{_WINDOWS}, {_PACKED}, b AS (SELECT video_id, batch, count(*) AS clips, sum(n) AS r, max(n) * count(*) AS p FROM p GROUP BY ALL)
         SELECT video_id, count(*) AS batches, round(avg(clips), 6) AS clips_avg, max(clips) AS clips_max, sum(r) AS frames_real, sum(p) AS frames_padded, round((sum(p) - sum(r))::DOUBLE / sum(p), 6) AS padding_ratio FROM b GROUP BY video_id""",
@@ -222,6 +222,16 @@ ORACLES = {
     "member_directions": f"""WITH {_VEC}, e AS (SELECT video_id, pos // 3 AS seg, unnest(range(1, len(v) + 1)) AS d, unnest(v) / sqrt(list_dot_product(v, v)) AS x FROM v),
         s AS (SELECT video_id, seg, d, sum(x) AS x FROM e GROUP BY ALL), m AS (SELECT video_id, seg, list(x ORDER BY d) AS m FROM s GROUP BY ALL)
         SELECT m.video_id, seg, round(list_dot_product(m, v) / sqrt(list_dot_product(m, m)), 6) AS with_first FROM m JOIN v ON v.video_id = m.video_id AND v.pos = seg * 3""",
+    "tau_ablation": f"""WITH RECURSIVE {_VEC}, o AS (SELECT video_id, pos, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM v), ts AS (SELECT unnest([0.1::DOUBLE, 0.2, 0.3]) AS tau),
+        s AS (SELECT video_id, tau, pos, 0 AS seg, u AS d FROM o, ts WHERE pos = 0
+              UNION ALL SELECT o.video_id, s.tau, o.pos, CASE WHEN m THEN s.seg ELSE s.seg + 1 END, CASE WHEN m THEN list_transform(range(1, len(o.u) + 1), lambda k: (s.d[k] + o.u[k]) / sqrt(2 + 2 * list_dot_product(s.d, o.u))) ELSE o.u END
+              FROM o JOIN s ON o.video_id = s.video_id AND o.pos = s.pos + 1, LATERAL (SELECT list_dot_product(s.d, o.u) >= s.tau AS m)),
+        c AS (SELECT video_id, tau, count(*) AS raw, max(seg) + 1 AS segs FROM s GROUP BY ALL),
+        e AS (SELECT s.video_id, tau, seg, unnest(range(1, len(u) + 1)) AS d, unnest(u) AS x FROM s JOIN o USING (video_id, pos)), g AS (SELECT video_id, tau, seg, d, sum(x) AS x FROM e GROUP BY ALL),
+        n AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY video_id, tau, seg)) AS y FROM g), mv AS (SELECT video_id, tau, seg, list(y ORDER BY d) AS m FROM n GROUP BY ALL),
+        l AS (SELECT video_id, tau, list_cosine_similarity(m, lead(m, 1) OVER w) AS a, list_cosine_similarity(m, lead(m, 2) OVER w) AS b FROM mv WINDOW w AS (PARTITION BY video_id, tau ORDER BY seg)), lc AS (SELECT video_id, tau, avg(a) AS tcs, avg(b) AS srr FROM l GROUP BY ALL),
+        r AS (SELECT *, sum(y) OVER (PARTITION BY video_id, tau, d ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM n), nv AS (SELECT video_id, tau, seg, 1 - sum(y * p) / sqrt(sum(p * p)) AS v FROM r WHERE p IS NOT NULL GROUP BY ALL), na AS (SELECT video_id, tau, avg(v) AS sns FROM nv GROUP BY ALL)
+        SELECT c.video_id, c.tau, raw AS raw_clips, segs AS final_segments, raw / segs::DOUBLE AS compression_ratio, round(tcs, 6) AS tcs, round(srr, 6) AS srr, round(sns, 6) AS sns, round(1 - tcs, 6) AS sdi FROM c LEFT JOIN lc USING (video_id, tau) LEFT JOIN na USING (video_id, tau)""",
     "timeline_shape": f"""WITH RECURSIVE {_TEXT_MERGE}, g AS (SELECT video_id, max(end_sec) AS duration, count(*) AS raw_clips FROM d GROUP BY video_id), h AS (SELECT video_id, count(*) AS n, avg(greatest(0, end_sec - start_sec)) AS m FROM merged GROUP BY video_id)
         SELECT video_id, raw_clips, n AS final_segments, round(raw_clips / n::DOUBLE, 6) AS compression_ratio, round(60.0 * n / duration, 6) AS dd, round(m, 6) AS mean_segment_duration FROM g JOIN h USING (video_id)""",
     "tau_summary": "SELECT t.tau, count(l_quantity) AS runs, round(avg(l_quantity), 6) AS mean_quantity, round(avg(l_extendedprice), 4) AS mean_price FROM (VALUES (0.0::DOUBLE), (0.03::DOUBLE), (0.06::DOUBLE), (0.09::DOUBLE), (0.5::DOUBLE)) t(tau) LEFT JOIN lineitem ON round(l_discount, 2) = t.tau GROUP BY t.tau",
