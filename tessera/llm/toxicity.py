@@ -5,12 +5,15 @@ frequent in toxic texts than in others), how near its words stand to a second-pe
 rates of capitals, punctuation, repeated letters and obfuscated words (symbols or digits within
 letters, read back as letters before they are looked up). Whole texts are read.
 
-Bounds of the fit: at most SAMPLE labelled texts, those with the smallest hashes; of them, at most
-LEXICON entries and a row of features each reach the driver. Trees are fitted on four fifths of the
-sample, and the calibration on the rest. The lexicon counts all of the sample.
+Bounds of the fit: at most SAMPLE labelled rows, those with the smallest hashes; of them, the lexicon
+and a row of features each reach the driver. The lexicon and the trees learn from four fifths of the
+sample, and the calibration from the rest. An entry is in the lexicon if the lower end of its log-odds'
+interval is high enough, however rare or frequent it is.
 
 Null and empty texts have all features 0 and are scored like others. Rows without a label are
-never learned from. If no label is known, every score is 0.
+never learned from; of several labels of one key the highest counts, and each row of a labelled key is
+an example of its own. If no label is known, or only one kind, every score is 0. Repeated rows get equal
+scores, an empty table gives no rows, and columns besides those named are carried along or not read.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from tessera.llm.common import ROW, located, short_batches, stored
 from tessera.llm.langid import fold
 
+#: Labelled rows that a model is fitted on at most.
 SAMPLE = 16_000
-LEXICON = 2_000
-#: An entry is in at least so many toxic texts of the sample, and its log-odds are at least so high.
-LEAST_TEXTS, LEAST_ODDS = 5, 2.5
+#: An entry's log-odds are at least so high, by so many standard errors less.
+LEAST_ODDS, ERRORS = 1.5, 1.5
 #: Lengths of beginnings of words.
 STEMS = (4, 5, 6)
 #: A lexicon word is near a pronoun if so many words lie between them at most.
@@ -186,7 +190,8 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: i
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of a rising function from raw scores to shares, by pooling adjacent violators."""
+    """Knots of the rising function from raw scores to shares with the least squared error, by pooling adjacent
+    violators: each pool's value is its mean."""
     order = np.argsort(raw, kind="stable")
     blocks: list[list[float]] = []  # sum of labels, rows, least raw score, largest raw score
     for r, v in zip(raw[order].tolist(), y[order].tolist(), strict=True):
@@ -198,10 +203,9 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             blocks[-1][3] = hi
     knots, values = [], []
     for s, n, lo, hi in blocks:
-        value = (s + 0.5 * min(1.0, s)) / (n + 0.5) if s else 0.5 / (n + 1)
         knots += [lo, hi] if hi > lo else [lo]
-        values += [value] * (2 if hi > lo else 1)
-    return np.array(knots), np.clip(np.maximum.accumulate(np.array(values)), 0.0, 1.0)
+        values += [s / n] * (2 if hi > lo else 1)
+    return np.array(knots), np.array(values)
 
 
 @dataclass
@@ -219,10 +223,12 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from the labelled rows; docs and labels hold only what may be learned from."""
-    marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
-    chosen = marked.orderBy(F.xxhash64(key, F.lit(11)), key).limit(SAMPLE)
-    known = F.pmod(F.xxhash64(key, F.lit(12)), F.lit(5)) == 0
-    sample = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), key).select("text", "y", known.alias("held")).checkpoint()
+    short_batches(docs.sparkSession)
+    marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    rows = located(docs).select(*ROW, F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    chosen = rows.select(*ROW, "_key").join(marked, "_key").orderBy(F.xxhash64("_key", ROW[1], F.lit(11)), *ROW).limit(SAMPLE)
+    chosen = chosen.select(*ROW, "y", (F.pmod(F.xxhash64("_key", F.lit(12)), F.lit(5)) == 0).alias("held"))
+    sample = stored(rows.join(F.broadcast(chosen), ROW).select("text", "y", "held"), "toxicity-sample")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,14 +239,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             names = [*toxic, *(w for w in clean if w not in toxic)]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[w] for w in names], pa.int64()), pa.array([clean[w] for w in names], pa.int64())], names=["entry", "toxic", "clean"])
 
-    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    learned = sample.where("not held")
+    sizes = {r.y: r.n for r in learned.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return Model(Lexicon({}), None, np.zeros(0), np.zeros(0))
-    counts = sample.select("text", "y").mapInArrow(words, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = learned.select("text", "y").mapInArrow(words, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 0")
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
-    rows = counts.where(F.col("toxic") >= LEAST_TEXTS).select("entry", odds.alias("odds"), "toxic").where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "entry").limit(LEXICON).collect()
-    lexicon = Lexicon({r.entry: r.odds for r in rows})
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    lexicon = Lexicon({r.entry: r.odds for r in counts.select("entry", odds.alias("odds"), error.alias("error")).where(F.col("odds") - ERRORS * F.col("error") >= LEAST_ODDS).select("entry", "odds").orderBy("entry").collect()})
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(lexicon.odds)
@@ -253,13 +260,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     y, held = data.column("y").to_numpy().astype(float), data.column("held").to_numpy()
     order = np.lexsort((*x.T, y, held))  # rows come in any order; the fit mustn't depend on it
     x, y, held = x[order], y[order], held[order]
-    learn, check = (~held, held) if 0 < y[held].sum() < held.sum() and 0 < y[~held].sum() < (~held).sum() else (np.ones(len(y), bool),) * 2
-    trees = boost(x[learn], y[learn])
+    trees = boost(x[~held], y[~held])
+    check = held if 0 < y[held].sum() < held.sum() else np.ones(len(y), bool)  # a small sample's fifth may lack a kind
     return Model(lexicon, trees, *isotonic(trees.raw(x[check]), y[check]))
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] | list[str], text: str = "text") -> DataFrame:
     """docs' columns ``keep`` with score and predicted."""
+    short_batches(docs.sparkSession)
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([docs.schema[c] for c in keep]).add("score", "double").add("predicted", IntegerType())
