@@ -1,14 +1,17 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The words of a partition (texts cut by the byte-level pattern) are laid out once each as one long
+The new words of a group of texts (cut by the byte-level pattern) are laid out once each as one long
 array of symbols. An index maps each pair that has a rank to all its positions. Active ranks are
 taken in ascending order from a heap; a rank's positions are merged from left to right, and the
 lists of the pairs that a merge makes are added to. Texts are then put together from the symbols
-of their words. A word's symbols are kept for later batches of the same worker, up to
-``CACHE_WORDS`` words; past that the store is emptied, which costs time and changes nothing else.
-
-Nulls count as empty texts. Added (special) tokens found in a text become their id, as the
-tokenizers library does; decoding keeps them.
+of their words. A word's symbols are kept for later groups of the same worker, up to ``CACHE_BYTES``;
+past that the store is emptied, which costs time and changes nothing else. A text longer than a group
+is read in pieces, cut where a blank stands between two words, so that memory follows its tokens only.
+
+Nulls count as empty texts, which have no tokens. Added (special) tokens found in a text become their
+id, as the tokenizers library does; decoding keeps them. Rows are encoded one by one, so repeated
+rows and ties come out as they come in, an empty table gives no rows, and only the columns ``keep``
+and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from tessera.llm.common import by_bytes
+from tessera.llm.common import by_bytes, short_batches
 
-#: Words whose symbols a worker keeps.
-CACHE_WORDS = 500_000
+#: Bytes of words and symbols that a worker keeps, and what a word takes besides its characters.
+CACHE_BYTES, WORD_BYTES = 64 << 20, 160
 #: New words are merged in blocks of about so many characters.
 BLOCK_CHARS = 4_000_000
 #: After so many lists of less than LONG_LIST positions, plain lists take over.
@@ -123,15 +126,14 @@ class Ragged:
 
 
 class BytePairs:
-    """A byte-level BPE vocabulary file of the tokenizers library."""
+    """A byte-level BPE vocabulary of the tokenizers library: the content of a file, or its path."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, source: bytes | str) -> None:
+        spec = json.loads(source if isinstance(source, bytes) else content_of(source))
         model, before = spec["model"], spec["pre_tokenizer"]
         odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
         if spec["normalizer"] or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before.get("use_regex", True) or odd:
-            raise ValueError(f"{path}: not a plain byte-level BPE file")
+            raise ValueError("not a plain byte-level BPE file")
         ids: dict[str, int] = model["vocab"]
         chars = byte_characters()
         byte_of = {c: b for b, c in enumerate(chars)}
@@ -148,7 +150,7 @@ class BytePairs:
         self.key_ranks = np.array([self.ranks[k] for k in self.keys.tolist()])
         added = {x["content"]: x for x in spec["added_tokens"]}
         if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added.values()):
-            raise ValueError(f"{path}: added tokens that strip or want word borders")
+            raise ValueError("added tokens that strip or want word borders")
         self.added = {content: x["id"] for content, x in added.items()}
         longest = sorted(map(re.escape, added), key=len, reverse=True)
         self.cut = re.compile("|".join(longest)) if longest else None
@@ -158,8 +160,10 @@ class BytePairs:
         self.token_bytes, self.digits = Ragged(np.uint8), Ragged(np.uint8)
         for out, rows in ((self.token_bytes, tokens), (self.digits, [b"%d," % i for i in range(len(tokens))])):
             out.append(np.frombuffer(b"".join(rows), np.uint8), np.array([len(x) for x in rows]))
+        # a cut between two words is safe unless an added token holds a blank
+        self.between = None if any(" " in x for x in added) else re.compile(r"(?<=\w) (?=\w)")
         self.words: dict[str, int] = {}
-        self.word_ids = Ragged()
+        self.word_ids, self.kept = Ragged(), 0
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after the other, and each word's number of ids, by one pair
@@ -278,6 +282,7 @@ class BytePairs:
         begin = len(self.words)
         self.words.update(zip(block, range(begin, begin + len(block)), strict=True))
         self.word_ids.append(ids, counts)
+        self.kept += sum(map(len, block)) + WORD_BYTES * len(block)
 
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is an added token, part of the text)."""
@@ -292,8 +297,8 @@ class BytePairs:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and each text's number of ids."""
-        if len(self.words) > CACHE_WORDS:
-            self.words, self.word_ids = {}, Ragged()
+        if self.kept > CACHE_BYTES:
+            self.words, self.word_ids, self.kept = {}, Ragged(), 0
         flat: list[str] = []
         sizes = []
         for text in texts:
@@ -319,6 +324,27 @@ class BytePairs:
         total = np.r_[0, np.cumsum(counts)]
         return ids, np.diff(total[np.r_[0, ends]])
 
+    def long_pieces(self, text: str) -> Iterator[str]:
+        """A text in pieces of about PIECE_CHARS, none of which cuts a word."""
+        begin = 0
+        while self.between and len(text) - begin > PIECE_CHARS:
+            at = self.between.search(text, begin + PIECE_CHARS)
+            if at is None:
+                break
+            yield text[begin : at.start()]
+            begin = at.start()
+        yield text[begin:]
+
+    def encode_long(self, text: str) -> tuple[np.ndarray, str, str]:
+        """The ids of one text, and the digests of these and of what they decode to, piece by piece."""
+        told, decoded, found = hashlib.sha256(), hashlib.sha256(), []
+        for piece in self.long_pieces(text):
+            ids, counts = self.encode_batch([piece])
+            told.update(b"," * bool(found) + self.decimals(ids, counts)[0])
+            decoded.update(self.decode(ids, counts)[0].encode())
+            found.append(ids)
+        return np.concatenate(found), told.hexdigest(), decoded.hexdigest()
+
     def decimals(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """Each text's ids in decimal, joined by commas."""
         data, sizes = self.digits.take(ids)
@@ -338,32 +364,52 @@ def cut(data: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-@functools.lru_cache(maxsize=2)
-def loaded(path: str) -> BytePairs:
-    return BytePairs(path)
+def content_of(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
 
+_loaded: dict[bytes, BytePairs] = {}
 
-#: Texts are encoded in groups of about so many bytes; a longer text is a group of its own.
-GROUP_BYTES = 4_000_000
+
+def loaded(source: bytes) -> BytePairs:
+    """The vocabulary that this worker holds; another one takes its place."""
+    digest = hashlib.sha256(source).digest()
+    if digest not in _loaded:
+        _loaded.clear()
+        _loaded[digest] = BytePairs(source)
+    return _loaded[digest]
+
+
+#: Texts are encoded in groups of about so many bytes; a longer text is cut into pieces of so many characters.
+GROUP_BYTES, PIECE_CHARS = 1 << 19, 1 << 18
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = (), ids: bool = True) -> DataFrame:
     """docs' columns ``keep`` with n_tokens, ids_sha256, decoded_sha256 (the digest of the text that
-    the ids decode to) and, if asked for, ids (array of int)."""
+    the ids decode to) and, if asked for, ids (array of int). The vocabulary is a file that the driver can
+    read; its content goes to the executors."""
+    short_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(content_of(vocabulary))
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = StructType([docs.schema[c] for c in keep]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
         schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(vocabulary)
-        gc.disable()  # millions of short strings, none in a cycle
+        bpe = loaded(shared.value)
+        gc.disable()  # many short strings, none in a cycle
         for batch in batches:
-            for part in by_bytes(batch, batch.num_columns - 1, GROUP_BYTES):
-                found, counts = bpe.encode_batch(part.column(part.num_columns - 1).to_pylist())
-                columns = [*part.columns[:-1], pa.array(counts)]
-                columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in bpe.decimals(found, counts)]))
-                columns.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in bpe.decode(found, counts)]))
+            last = batch.num_columns - 1
+            for part in by_bytes(batch, last, GROUP_BYTES):
+                if part.num_rows == 1:
+                    found, told, decoded = bpe.encode_long(part.column(last)[0].as_py())
+                    counts, told, decoded = np.array([len(found)]), [told], [decoded]
+                else:
+                    found, counts = bpe.encode_batch(part.column(last).to_pylist())
+                    told = [hashlib.sha256(x).hexdigest() for x in bpe.decimals(found, counts)]
+                    decoded = [hashlib.sha256(x.encode()).hexdigest() for x in bpe.decode(found, counts)]
+                columns = [*part.columns[:-1], pa.array(counts), pa.array(told), pa.array(decoded)]
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(found)))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
