@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, shard int, slot string, size long, digest string, rejected string"
 LONG = " ".join(hashlib.sha256(str(i).encode()).hexdigest()[: 3 + i % 9] for i in range(40_000))
 BASE = " ".join(f"word{i} alpha beta" for i in range(40))
@@ -41,3 +43,10 @@ def repeated(spark):
 
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def odd_ids(spark):
+    """doc_ids that repeat with different texts, are null, or both."""
+    near = BASE.replace("word7 ", "other ")
+    rows = [(5, "a x"), (5, "b y"), (9, "A x"), (None, "c"), (7, "c"), (None, "d"), (None, "D"), (None, " ".join(f"w{i}" for i in range(34))), (None, "one two"), (3, BASE), (3, BASE), (4, near), (None, near), (3, near + " end"), (None, None), (8, ""), (6, LONG), (6, LONG + " tail")]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("_tessera", F.lit(1))

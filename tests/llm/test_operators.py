@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, exact_dedup, jaccard, langid, media, mixing, registry, secret_scan, shards, toxicity, warc
-from tessera.llm.common import stored
-from tests.llm.fixtures import TEXTS, documents, none, repeated
+from tessera.llm.common import located, stored
+from tests.llm.brute import brute_cosines, brute_features, brute_isotonic, brute_join, brute_random
+from tests.llm.fixtures import TEXTS, documents, none, odd_ids, repeated
 from tests.oracle import connection, same_rows
 
 
@@ -53,6 +54,43 @@ def test_language_cases(spark, sf_dir):
     assert model.predict("щука ёж " * 30)[2] and not model.predict("thtion and the erenst of")[2]
 
 
+def test_language_as_by_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir).unionByName(repeated(spark).select("doc_id", "text", "lang", "source", "n_chars"))
+    model = langid.fit(docs)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.predict(docs, model, ["doc_id", "text"]).collect():
+        cosines, letters = brute_cosines(r.text, model, langid.DIMENSIONS)
+        if not letters:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        best = max(range(len(cosines)), key=lambda i: cosines[i])
+        assert r.score == pytest.approx(cosines[best], abs=1e-5)
+        assert max(c for c, own in zip(cosines, model.owner, strict=True) if model.languages[own] == r.lang_pred) == pytest.approx(cosines[best], abs=1e-5)
+    assert len(text) == docs.select("doc_id").distinct().count()
+
+
+def test_centroids_stand_for_the_mass():
+    """Two varieties and a few outliers: no centroid is an outlier's."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = np.zeros((100, 40))
+    base[:50, :10], base[50:96, 10:20] = 1, 1
+    base[96:, 30:34] = np.eye(4)
+    rows = np.abs(base + 0.05 * rng.normal(size=base.shape))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    found = langid.k_means(rows, 4)
+    own = np.argmax(rows @ found.T, axis=1)
+    assert min(np.bincount(own, minlength=len(found))) >= 3 and len(set(own[:50]) & set(own[50:96])) == 0
+
+
+def test_rejection_is_by_distance_at_every_length(spark, sf_dir):
+    """No length is let through as such: what shares no n-gram with any language goes, however short."""
+    model = langid.fit(table(spark, sf_dir))
+    assert all(model.predict("щ" * n)[2] for n in (1, 2, 5, 30, 1000))
+    assert (model.bounds > 0).all()
+
+
 def test_n_gram_counts_dont_depend_on_pieces(monkeypatch):
     text = "Straße, ÉTÉ 12 x" * 50
     whole = langid.counts_of(text)
@@ -80,6 +118,17 @@ def test_shards(spark, make, monkeypatch):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, shards.sharded(docs, 5).collect()), key=str)
 
 
+def test_shards_of_equal_rows_and_maps(spark, monkeypatch):
+    """Copies of one row are scattered over buckets, and a column of maps is carried along."""
+    monkeypatch.setattr(shards, "BUCKET_BYTES", 400)
+    docs = spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.create_map(F.lit("k"), F.lit(1)).alias("m"))
+    rows = shards.shuffled(docs, 7).collect()
+    assert len(rows) == 300 and all(r.m == {"k": 1} for r in rows)
+    assert sorted(collections.Counter(r.shard for r in rows).values()) == [42] + [43] * 6
+    buckets = located(docs).select(F.pmod(F.xxhash64(F.lit(shards.SEED), "doc_id", "text", "_tessera_row"), F.lit(19)).alias("b")).groupBy("b").count().collect()
+    assert len(buckets) > 10
+
+
 def test_shards_mix_the_order(spark, sf_dir):
     rows = registry.op2_sharding(spark, sf_dir).orderBy("shard", "slot").collect()
     ids = [r.doc_id for r in rows]
@@ -105,10 +154,36 @@ def test_exact_copies(spark, make):
     assert sorted(exact_dedup.kept_rows(docs).columns) == sorted(docs.columns)
 
 
-def test_copies_in_many_batches(spark):
-    docs = documents(spark).repartition(4)
-    got = sorted(map(tuple, exact_dedup.resolved(docs, files_per_batch=1).collect()))
+@pytest.mark.parametrize("batches", [1, 3, 8])
+def test_copies_in_many_batches(spark, batches, monkeypatch, tmp_path):
+    """Batches meet the state that those before have left, and emit the digests that they hit again."""
+    monkeypatch.setattr(exact_dedup, "scratch", lambda _, name: f"file://{tmp_path}/{name}")
+    docs = repeated(spark).coalesce(1)
+    got = sorted(map(tuple, exact_dedup.resolved(docs, batches=batches).collect()))
     assert got == brute_copies(docs.collect())
+    assert len(list(tmp_path.glob("dedup-hits/batch=[0-9]*"))) >= min(batches, 3)
+
+
+def null_last(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+@pytest.mark.parametrize("digits", [64, 1])
+def test_odd_identifiers(spark, digits, monkeypatch):
+    """Repeated and null doc_ids, with digests as they are and with digests that several texts share."""
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, digits)))
+    docs = odd_ids(spark)
+    groups = collections.defaultdict(list)
+    for r in docs.collect():
+        groups[(r.text or "").lower()].append(r.doc_id)
+    want, stay = [], []
+    for text, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        want += [(i, keep, len(ids), i == keep) for i in ids]
+        stay += [(i, text) for i in ids if i == keep]
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.resolved(docs).collect()]
+    assert null_last(got) == null_last(want)
+    assert null_last((r.doc_id, (r.text or "").lower()) for r in exact_dedup.kept_rows(docs).collect()) == null_last(stay)
 
 
 def test_null_identifiers(spark):
@@ -137,7 +212,7 @@ def test_media(spark, make):
 def test_headers_by_range_and_tar(spark, tmp_path):
     folder = f"file://{tmp_path}"
     places = media.write_shards(documents(spark).coalesce(1), folder).cache()
-    names = {r.digest for r in places.collect()}
+    names = {r.digest.hex() for r in places.collect()}
     tar = next(tmp_path.glob("*.tar")).read_bytes()
     assert {x.removesuffix(".png") for x in media.tar_members(tar)} == names
     heads = media.with_headers(places.dropDuplicates(["digest"]), folder).collect()
@@ -146,7 +221,7 @@ def test_headers_by_range_and_tar(spark, tmp_path):
         media.header(b"x" * 33)
 
 
-def test_metadata_columns_come_from_header_reads(spark):
+def test_metadata_columns_come_from_header_reads(spark, monkeypatch):
     """A read of 33 bytes tells width, height and bits, whatever lies behind, and the query tells them."""
     class Noted(io.BytesIO):
         def read(self, n=-1):
@@ -154,8 +229,20 @@ def test_metadata_columns_come_from_header_reads(spark):
             return super().read(n)
 
     asked, data = [], media.to_png(bytes(128))
-    assert media.whole_at(Noted(data), "d", len(data))[1:4] == (64, 2, 8) and asked == [33, len(data)]
-    assert all(r.bits == 8 for r in media.described(documents(spark)).collect())
+    assert media.head_at(Noted(data), b"d", len(data))[1:] == (64, 2, 8) and asked == [33]
+    assert media.head_at(Noted(data[:33] + b"damaged"), b"d", len(data))[1:] == (64, 2, 8)
+    read = []
+    real = media.with_headers
+    monkeypatch.setattr(media, "with_headers", lambda places, folder: read.append(folder) or real(places, folder).withColumn("bits", F.col("bits") + 100))
+    assert all(r.bits == 108 for r in media.described(documents(spark)).collect()) and len(read) == 1
+
+
+def test_media_of_the_table(spark, sf_dir):
+    docs, want = table(spark, sf_dir), texts_of(table(spark, sf_dir))
+    for r in media.described(docs).collect():
+        raw = want[r.doc_id].encode()
+        padded = raw + bytes(-len(raw) % 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
 
 
 # 5 secrets
@@ -194,6 +281,29 @@ def test_markov_spans(spark, sf_dir):
     assert (got[0].spans[0].start, got[0].spans[0].end) == (4, 28)
 
 
+def test_random_spans_as_by_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir).select("doc_id", "text")
+    odd = ["x" * 30, "key Zx9QwT4vLp0aRk7sJd2mNb8c end", "internal_service_account_credentials_value=Zx9QwT4vLp0aRk7sJd2mNb8c", "a-b-c-d-Zx9QwT4vLp0aRk7sJd2mNb8c/ordinary/path/to/a/file", "", "é" * 40, "0123456789" * 500]
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    ratios = [round(x, 6) for x in secret_scan.fit(secret_scan.samples(spark, docs))]
+    text, hits = texts_of(docs), 0
+    for r in secret_scan.scanned(docs, ratios).collect():
+        want = brute_random(text[r.doc_id], ratios, secret_scan)
+        assert [(x.start, x.end) for x in r.spans if x.kind == 3] == want
+        hits += len(want)
+    assert hits >= 3
+
+
+def test_many_matches_and_a_long_text(spark):
+    """100 000 matches in a text of 10 MB: spans are those of the pattern, in time that follows the matches."""
+    text = " ".join(f"token={i:08d} {'filler ' * 11}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (1, text[:1000])], "doc_id int, text string")
+    rows = secret_scan.scanned(docs, [0.0] * len(secret_scan.ALPHABET) ** 2).orderBy("n_assign").collect()
+    assert len(text) > 9_000_000 and rows[1].n_assign == 100_000
+    for r, t in zip(rows, (text[:1000], text), strict=True):
+        assert [(x.start, x.kind, x.end) for x in r.base] == brute_spans(t)
+
+
 # 6 WARC
 
 
@@ -297,6 +407,36 @@ def test_jaccard_in_many_blocks(spark, monkeypatch):
     assert got == brute_links(dict(rows))
 
 
+@pytest.mark.parametrize("make", [repeated, odd_ids, lambda s: odd_ids(s).withColumn("doc_id", F.lit(None).cast("long"))])
+def test_jaccard_of_odd_identifiers(spark, make):
+    """Each row is a document, with its own set, whatever doc_ids repeat or are null."""
+    docs = make(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute_join(rows)
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.classified(docs).collect()]
+    assert null_last(got) == null_last(x[:4] for x in want)
+    stay = [(r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect()]
+    assert len(stay) == len({x[4] for x in want})
+    firsts = collections.Counter(x[2] for x in want if x[2] is not None and x[0] == x[2])
+    assert {i for i, _ in stay if i is not None} == set(firsts)
+
+
+def test_keys_of_sets_that_link():
+    """Sets that link have a key in common, at every size and difference."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    bounds = jaccard.level_bounds(5000)
+    for n in (4, 5, 6, 9, 10, 14, 25, 60, 200, 1500):
+        for _ in range(150):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            gone, more = rng.integers(0, n // 8 + 2, 2)
+            b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 2**63, more).astype(np.uint64)])
+            both = len(np.intersect1d(a, b))
+            if both < len(np.union1d(a, b)) and 100 * both >= 80 * (len(a) + len(b) - both):
+                assert len(np.intersect1d(jaccard.keys_of(a, bounds), jaccard.keys_of(b, bounds)))
+
+
 def test_groups_of_hashes_are_packed_once(spark, tmp_path):
     """A stage that runs again (here, for a second action) must not name or cut groups anew."""
     def noted(column):
@@ -352,7 +492,7 @@ def test_mixing(spark, sf_dir, make):
 
 def test_schedule_is_even(spark, sf_dir):
     """In every stretch of the mix, sources take about their share."""
-    _, mix = mixing.scheduled(table(spark, sf_dir))
+    _, mix = mixing.scheduled(located(table(spark, sf_dir)))
     slots = mix.select("slot", "sid").distinct().orderBy("slot").collect()
     shares = collections.Counter(r.sid for r in slots)
     for begin in range(0, len(slots) - 2000, 2000):
@@ -375,6 +515,20 @@ def test_small_sources_reach_their_target(spark, monkeypatch):
     assert {i for i in source if source[i] != "s00"} <= drawn
 
 
+def test_drawn_rows_are_documents(spark):
+    """Rows that share doc_id and source are drawn each by itself, null ones too."""
+    rows = [(7, "a " * 10, "s"), (7, "b " * 10, "s"), (None, "c " * 10, "s"), (None, "d " * 10, None), (8, "e " * 5, "t"), (9, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_times", F.lit(1))
+    drawn = mixing.drawn(docs)
+    assert drawn.columns == docs.columns
+    got = collections.Counter(r.text for r in drawn.collect())
+    taken = collections.Counter()
+    for r in mixing.mixed(docs).collect():
+        taken[r.doc_id, r["size"]] += r.taken
+    assert sum(taken.values()) == pytest.approx(45, abs=3) and None not in got
+    assert all(n <= 3 for n in got.values()) and sum(len(t.split()) * n for t, n in got.items()) >= 40
+
+
 # 9 BPE
 
 
@@ -391,9 +545,28 @@ def test_tokens_as_the_library_does(spark, make):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("cache", [0, 500_000])
+def test_tokens_of_the_table(spark, sf_dir):
+    library, want = Tokenizer.from_file(registry.vocabulary()), texts_of(table(spark, sf_dir))
+    for r in registry.op9_bpe(spark, sf_dir).collect():
+        ids = library.encode(want[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest()
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE_CHARS", 50)
+    library, mine = Tokenizer.from_file(registry.vocabulary()), bpe.BytePairs(registry.vocabulary())
+    for text in (*(t or "" for t in TEXTS), " \n x  y 'll  " * 40 + "don't it's we'll " * 40, "x" * 500, "日本 語 " * 100, "a<|endoftext|>b c " * 30):
+        assert "".join(mine.long_pieces(text)) == text
+        ids, told, decoded = mine.encode_long(text)
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want and told == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        assert decoded == hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("cache", [0, 64 << 20])
 def test_words_as_the_library_cuts_them(cache, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", cache)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", cache)
     library, mine = Tokenizer.from_file(registry.vocabulary()), bpe.BytePairs(registry.vocabulary())
     texts = ["don't 'sabc he'll 'd' we're''s", "  a  b\n\n c", " \n x\t\ty", "it's's 't", "'", "!!'s 1's2'd3", "日本語 ½ ² 1a　b", "a\x85b\x1cc d", "a" * 99, "-" * 33 + " ==", "é́ 😀😀", ""]
     ids, counts = mine.encode_batch(texts)
@@ -434,6 +607,47 @@ def test_trees_and_isotonic():
     assert (np.diff(values) >= 0).all() and (np.diff(knots) >= 0).all()
 
 
+def test_isotonic_is_the_pooled_mean():
+    import numpy as np
+
+    knots, values = toxicity.isotonic(np.array([0.0, 1.0]), np.array([1.0, 0.0]))
+    assert set(values) == {0.5}
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        raw, y = rng.permutation(30).astype(float), (rng.random(30) < 0.4).astype(float)
+        knots, values = toxicity.isotonic(raw, y)
+        want = brute_isotonic(y[np.argsort(raw)].tolist())
+        assert np.interp(np.sort(raw), knots, values) == pytest.approx(want)
+
+
+def test_toxicity_as_by_brute_force(spark, sf_dir):
+    import numpy as np
+
+    docs, labels = table(spark, sf_dir), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels)
+    assert model.trees is not None and model.lexicon.odds
+    for r in toxicity.predict(docs.unionByName(repeated(spark).select(*docs.columns)), model, ["doc_id", "text"]).collect():
+        features = brute_features(r.text or "", model.lexicon.odds, toxicity)
+        raw = model.trees.start
+        for feature, cut, leaf in zip(model.trees.feature, model.trees.cut, model.trees.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                k = feature[node]
+                node = 2 * node + 1 + (sum(e < features[k] for e in model.trees.edges[k]) > cut[node])
+            raw += leaf[node - len(feature)]
+        score = np.interp(raw, model.knots, model.values)
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == int(r.score >= 0.5)
+
+
+def test_the_lexicon_hasnt_seen_the_calibration(spark):
+    """A word of held rows alone isn't an entry; labels of repeated keys are the highest."""
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(5)) == 0
+    docs = labels.select("doc_id", F.concat(F.when(F.col("toxic") == 1, "vile ").otherwise("kind "), F.when(held, "heldword").otherwise("learnt")).alias("text"))
+    odds = toxicity.fit(docs, labels.unionByName(labels.withColumn("toxic", F.lit(0)))).lexicon.odds
+    assert "vile" in odds and "heldword" not in odds and "kind" not in odds
+
+
 def test_obfuscated_words_are_read_back():
     assert toxicity.plain("!1d10t!") == ("idiot", True) and toxicity.plain("s.c.u.m,") == ("scum", True)
     assert toxicity.plain("plain.") == ("plain", False) and toxicity.plain("1234") == ("1234", False)
