@@ -3,15 +3,22 @@
 A text's vector holds TF-IDF weights of its letter n-grams (one to three letters, words padded by a
 blank), hashed into ``DIMENSIONS`` columns, with logarithmic counts, and is normalised. Each
 language has up to ``CENTROIDS`` centroids, found by spherical k-means over a bounded sample of its
-labelled texts. A text gets the language of the centroid with the largest cosine. It is rejected
-if that cosine is below the language's bound, which lies well under the cosines of its sample.
+labelled texts. A text gets the language of the centroid with the largest cosine.
 
-Bounds of the fit: at most ``SAMPLE`` texts of a language, those with the smallest hashes; what
-reaches the driver is their vectors (at most DIMENSIONS numbers each). Prediction reads whole texts
-in pieces of ``PIECE`` characters, so that memory doesn't follow a text's length.
+It is rejected by its distance: if that cosine is below the language's bound for a text of as many
+letters. Short texts are farther from all centroids, so bounds are a curve: the sample's texts are read
+up to 1, 2, 4, 8, ... letters, and SLACK times the QUANTILE of the cosines at each length are the points
+of the curve of a nearest language; between them it runs straight over the logarithm of the length.
+
+Bounds of the fit: at most ``SAMPLE`` rows of a language, those with the smallest hashes, and
+``SAMPLE_TOTAL`` in all; what reaches the driver is their vectors (at most DIMENSIONS numbers each) and
+a table of bounds. Prediction reads whole texts in pieces of ``PIECE`` characters, so that memory
+doesn't follow a text's length.
 
 Null texts and texts without a letter get ``und`` and score 0, and are rejected. If nothing is
-labelled, every text gets ``und``. Null languages are never learned.
+labelled, every text gets ``und``. Null languages are never learned. Of centroids at the same cosine
+the first language by name counts. Every row is predicted by itself, so repeated rows get the same
+values; an empty table gives no rows; columns besides those named are carried along or not read.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ import functools
 import sys
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +35,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import stored
+from tessera.llm.common import ROW, located, short_batches, stored
 
 DIMENSIONS = 1 << 14
 CENTROIDS = 4
-SAMPLE = 500
-#: Of all languages together, at most so many texts (fewer of each, if there are more than 200 languages).
-SAMPLE_TOTAL = 100_000
+#: Rows of a language and of all languages that a model is fitted on at most.
+SAMPLE, SAMPLE_TOTAL = 500, 20_000
 PIECE = 1 << 20
-#: Shorter texts say too little to be rejected by their distance.
-REJECT_LETTERS = 40
-#: Of a language's own sample, the lowest cosine times this is the bound of rejection.
-SLACK = 0.5
+#: The bound of rejection: this part of this quantile of the sample's cosines.
+SLACK, QUANTILE = 0.5, 0.02
+#: The powers of two at which the curve of bounds has points.
+LENGTHS = 16
+#: A cluster with a smaller share of a language's sample is dealt out to the others.
+LEAST_SHARE = 0.03
+SEED = 17
 
 
 @functools.cache
@@ -86,42 +95,63 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # (n, DIMENSIONS)
     owner: np.ndarray  # of each centroid: which language
-    bounds: np.ndarray  # of each language
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros((0, LENGTHS)))  # (languages, LENGTHS)
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
+    def nearest(self, text: str | None) -> tuple[int, float, int]:
+        """The nearest centroid, the cosine with it and the number of letters; -1 without any."""
         counts, letters = counts_of(text) if text else (None, 0)
         if not letters or not self.languages:
-            return "und", 0.0, True
+            return -1, 0.0, letters
         cosine = self.centroids @ weights(counts, self.idf)
         best = int(np.argmax(cosine))
-        score, language = float(min(1.0, max(0.0, cosine[best]))), int(self.owner[best])
-        return self.languages[language], score, bool(letters >= REJECT_LETTERS and score < self.bounds[language])
+        return best, float(min(1.0, max(0.0, cosine[best]))), letters
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        best, score, letters = self.nearest(text)
+        if best < 0:
+            return "und", 0.0, True
+        language = self.owner[best]
+        bound = np.interp(np.log2(letters), np.arange(LENGTHS), self.bounds[language])
+        return self.languages[language], score, bool(score < bound)
 
 
 def k_means(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Centroids of unit vectors by cosine; starts from vectors far apart, so nothing is random."""
-    centres = [vectors.mean(0)]
+    """Centroids of unit vectors by cosine. Starts are drawn (seeded) by distance from those drawn before;
+    clusters of a few outliers are dissolved, so a centroid stands for a part of the mass."""
+    rng = np.random.default_rng(SEED)
+    centres = [int(np.argmax(vectors @ vectors.mean(0)))]
     while len(centres) < min(k, len(vectors)):
-        near = np.max(vectors @ np.array(centres).T, axis=1)
-        centres.append(vectors[int(np.argmin(near))])
-    out = np.array(centres)
-    for _ in range(rounds):
-        own = np.argmax(vectors @ (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).T, axis=1)
-        out = np.array([vectors[own == i].mean(0) if (own == i).any() else out[i] for i in range(len(out))])
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        away = np.maximum(0.0, 1 - np.max(vectors @ vectors[centres].T, axis=1)).astype(float) ** 2
+        if not away.sum():
+            break
+        centres.append(int(rng.choice(len(vectors), p=away / away.sum())))
+    out = vectors[centres]
+    for turn in range(rounds):
+        own = np.argmax(vectors @ out.T, axis=1)
+        sizes = np.bincount(own, minlength=len(out))
+        kept = np.flatnonzero(sizes >= max(1, LEAST_SHARE * len(vectors) if turn >= rounds // 2 else 1))
+        out = np.array([vectors[own == i].mean(0) for i in (kept if len(kept) else [int(np.argmax(sizes))])])
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    return out
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """A model from a bounded sample of labelled rows."""
-    rows = labelled.select(key, lang, text).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+def sampled(labelled: DataFrame, text: str, lang: str, key: str) -> DataFrame:
+    """(lang, text) of the rows that a model is fitted on."""
+    rows = located(labelled).select(*ROW, F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     # about twice the sample of each language by its hash, so that a frequent one isn't ranked as a whole
-    counts = stored(rows.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_c")), "langid-counts")
-    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 31))
-    some = rows.select(key, lang, place.alias("_p")).join(counts, F.col(lang) == F.col("_l")).where(F.col("_p") * F.col("_c") < (2 * SAMPLE + 50) * float(1 << 31))
-    order = Window.partitionBy(lang).orderBy("_p", key)
+    counts = stored(rows.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_c")), "langid-counts")
+    place = F.pmod(F.xxhash64(F.col("key").cast("string"), ROW[1], F.lit(SEED)), F.lit(1 << 31))
+    some = rows.select(*ROW, "lang", place.alias("_p")).join(counts, F.col("lang") == F.col("_l")).where(F.col("_p") * F.col("_c") < (2 * SAMPLE + 50) * float(1 << 31))
+    order = Window.partitionBy("lang").orderBy("_p", *ROW)
     ranked = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE)
-    ids = ranked.orderBy("_n", lang, key).limit(SAMPLE_TOTAL).select(F.col(key).alias("_k"), F.col(lang).alias("_l"))
-    sample = rows.join(F.broadcast(ids), (F.col(key) == F.col("_k")) & (F.col(lang) == F.col("_l")), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    chosen = ranked.orderBy("_n", "lang", *ROW).limit(SAMPLE_TOTAL).select(*ROW)
+    return stored(rows.join(F.broadcast(chosen), ROW, "left_semi").select("lang", "text"), "langid-sample")
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
+    """A model from a bounded sample of labelled rows."""
+    short_batches(labelled.sparkSession)
+    sample = sampled(labelled, text, lang, key)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,21 +170,56 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         seen[at] += 1
         groups[name].append((at, n.values.to_numpy().astype(float)))
     idf = np.log((1 + found.num_rows) / (1 + seen)) + 1
-    centroids, owner, bounds = [], [], []
+    centroids, owner = [], []
     for k, name in enumerate(names):
         rows_of = np.zeros((len(groups[name]), DIMENSIONS), np.float32)
-        for i, (at, n) in enumerate(sorted(groups[name], key=lambda x: (len(x[0]), x[1].sum(), x[0].sum()))):
+        # rows come in any order; the fit mustn't depend on it
+        for i, (at, n) in enumerate(sorted(groups[name], key=lambda x: (x[0].tobytes(), x[1].tobytes()))):
             v = np.log1p(n) * idf[at]
             rows_of[i, at] = v / np.linalg.norm(v)
         own = k_means(rows_of, CENTROIDS)
         centroids.append(own)
         owner += [k] * len(own)
-        bounds.append(SLACK * float(np.max(rows_of @ own.T, axis=1).min()))
-    return Model(names, idf, np.vstack(centroids).astype(np.float32) if centroids else np.zeros((0, DIMENSIONS), np.float32), np.array(owner, int), np.array(bounds))
+    model = Model(names, idf, np.vstack(centroids).astype(np.float32) if centroids else np.zeros((0, DIMENSIONS), np.float32), np.array(owner, int))
+    model.bounds = curves(sample, model)
+    return model
+
+
+def curves(sample: DataFrame, model: Model) -> np.ndarray:
+    """Each language's bound at each power of two of letters; where it has no text, that of all."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                ends = np.cumsum(folded()[np.frombuffer(text[:PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)] != 0x20)
+                for k in range(LENGTHS):
+                    at = int(np.searchsorted(ends, 1 << k)) + 1
+                    if at > len(ends):
+                        break
+                    best, score, _ = shared.value.nearest(text[:at])
+                    out.append((int(shared.value.owner[best]), k, score))
+            yield pa.RecordBatch.from_pydict({"c": pa.array([x[0] for x in out], pa.int32()), "k": pa.array([x[1] for x in out], pa.int32()), "s": pa.array([x[2] for x in out], pa.float64())})
+
+    told = sample.mapInArrow(cosines, "c int, k int, s double")
+    low = F.percentile("s", QUANTILE).alias("s")
+    rows = told.groupBy("c", "k").agg(low).collect()
+    every = {r.k: r.s for r in told.groupBy("k").agg(low).collect()}
+    out = np.full((len(model.languages), LENGTHS), np.nan)
+    for k, s in every.items():
+        out[:, k] = s
+    for r in rows:
+        out[r.c, r.k] = r.s
+    for k in range(LENGTHS):  # past the longest text, the curve runs on level
+        missing = np.isnan(out[:, k])
+        out[missing, k] = out[missing, k - 1] if k else 0.0
+    return SLACK * out
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | tuple[str, ...], text: str = "text") -> DataFrame:
     """docs' columns ``keep`` with lang_pred, score and rejected."""
+    short_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
