@@ -5,11 +5,13 @@ A payload (the text's bytes, filled with zeros up to a positive multiple of 64)
 tar shards of its own, whose members are named by the payload's SHA-256, and hands on (digest,
 shard, offset, length). Of the places where one digest lies, the least counts, so a digest has one
 place and the copies that other tasks may have written (one per task at most) aren't read. Then
-each shard is read back by ranges: the 33 bytes of a header fill the metadata columns, and the
-whole range gives the digests and the feature.
+shards are read by ranges, by two readers: one reads the 33 bytes of a header and nothing else, and
+fills the metadata columns width, height and bits; the other reads whole ranges, for digests and feature.
 
 A task that is run again writes new shards under new names; the ones that the index doesn't name
-are never read. Null texts count as empty ones; equal texts share all values.
+are never read. Null texts count as empty ones; equal texts share all values, repeated rows and rows
+without a doc_id come out as they come in, and an empty table gives no rows. Only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch, sorted_groups, stored
+from tessera.llm.common import scratch, short_batches, sorted_groups, stored
 
 WIDTH = 64
 #: A shard is closed after so many bytes.
 SHARD_BYTES = 256 << 20
+#: Places that a task remembers; past that it may store a payload again, which costs disk and no result.
+PLACES = 200_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 
@@ -121,6 +125,7 @@ class Shards:
 
 def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, digest, shard, offset, length): where each document's payload lies."""
+    short_batches(docs.sparkSession)
     rows = docs.select(key, F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,41 +135,40 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py()
                 payload = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if digest not in places:
-                    places[digest] = shards.add(digest, to_png(payload))
+                    if len(places) >= PLACES:
+                        places.clear()
+                    places[digest] = shards.add(digest.hex(), to_png(payload))
                 out.append((len((text or "").encode("utf-8", "surrogatepass")), digest, *places[digest]))
             n, digest, shard, offset, length = zip(*out, strict=True) if out else ([],) * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(shard, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=[key, "n_bytes", "digest", "shard", "offset", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(shard, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=[key, "n_bytes", "digest", "shard", "offset", "length"])
         shards.close()
 
     fields = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {fields}, n_bytes long, digest string, shard string, offset long, length long")
+    return rows.mapInArrow(run, f"`{key}` {fields}, n_bytes long, digest binary, shard string, offset long, length long")
 
 
-def head_at(stream, length: int) -> tuple:
+def head_at(stream, digest: bytes, length: int) -> tuple:
     """Width, height and bits from a range of 33 bytes."""
-    return header(stream.read(min(length, HEADER_BYTES)))[:3]
+    return (digest, *header(stream.read(min(length, HEADER_BYTES)))[:3])
 
 
-def whole_at(stream, digest: str, length: int) -> tuple:
-    """Metadata from the header's own range, then digests and feature from the whole range."""
-    at = stream.tell()
-    head = head_at(stream, length)
-    stream.seek(at)
+def whole_at(stream, digest: bytes, length: int) -> tuple:
+    """Digests and feature from the whole range."""
     data = stream.read(length)
     payload = from_png(data)
-    return (digest, *head, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(payload))
+    return (digest, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).digest(), feature_of(payload))
 
 
 def with_headers(places: DataFrame, folder: str) -> DataFrame:
     """(digest, width, height, bits) from ranges of 33 bytes; nothing else of the shards is read."""
-    return _read(places, folder, "digest string, width int, height int, bits int", lambda stream, digest, length: (digest, *head_at(stream, length)))
+    return _read(places, folder, "digest binary, width int, height int, bits int", head_at)
 
 
 def with_payloads(places: DataFrame, folder: str) -> DataFrame:
-    """(digest, width, height, bits, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)."""
-    return _read(places, folder, "digest string, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", whole_at)
+    """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature); digests are binary."""
+    return _read(places, folder, "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string", whole_at)
 
 
 def _read(places: DataFrame, folder: str, schema: str, one) -> DataFrame:
@@ -179,13 +183,14 @@ def _read(places: DataFrame, folder: str, schema: str, one) -> DataFrame:
         store, path = fs.FileSystem.from_uri(folder)
         for _, group in sorted_groups(batches, "span"):
             out = []
+            # unbuffered: a range is asked for as it is
             with store.open_input_file(f"{path}/{group.column('shard')[0].as_py()}") as stream:
                 for digest, offset, length in zip(*(group.column(c).to_pylist() for c in ("digest", "offset", "length")), strict=True):
                     stream.seek(offset)
                     out.append(one(stream, digest, length))
             yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=kinds)
 
-    kinds = pa.schema([(x.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[x.split()[1]]) for x in schema.split(", ")])
+    kinds = pa.schema([(x.split()[0], {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "long": pa.int64()}[x.split()[1]]) for x in schema.split(", ")])
     return rows.repartition(parts, "span").sortWithinPartitions("span", "offset").mapInArrow(run, schema)
 
 
@@ -198,8 +203,10 @@ def described(docs: DataFrame) -> DataFrame:
     index = stored(write_shards(docs, folder), "media-index")
     place = F.min(F.struct("shard", "offset", "length")).alias("place")
     places = index.groupBy("digest").agg(place).select("digest", "place.*")
-    read = stored(with_payloads(places, folder).join(places, "digest"), "media-read")
-    return index.select("doc_id", "n_bytes", "digest").join(read, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height", "bits")
+    heads, wholes = with_headers(places, folder), with_payloads(places, folder)
+    read = stored(places.join(heads, "digest").join(wholes, "digest"), "media-read")
+    hexed = [F.lower(F.hex(c)).alias(c) for c in ("payload_sha256", "media_sha256")]
+    return index.select("doc_id", "n_bytes", "digest").join(read, "digest").select("doc_id", "n_bytes", "payload_bytes", hexed[0], "tail_crc32", "media_bytes", hexed[1], "feature", "shard", "offset", "length", "width", "height", "bits")
 
 
 def tar_members(data: bytes) -> list[str]:
