@@ -1,12 +1,17 @@
 """Secret scans, in DataFrame operations only: fixed patterns, and Markov models of characters.
 
 Two first-order models, one of random strings and one of ordinary identifiers, are trained from
-labelled samples; what reaches the driver is a table of ratios as large as the alphabet squared. A
-run of MARKOV_LEAST or more characters of that alphabet that has a digit and a letter is a span
-``random`` if its log-likelihood ratio exceeds BOUND. The ``assign``, ``access`` and ``hex`` spans
-of the patterns stay whatever the models say.
-
-Offsets count code points, ends are exclusive. Null texts count as empty ones and have no span.
+labelled samples; what reaches the driver is a table of ratios as large as the alphabet squared. Runs
+of MARKOV_LEAST or more characters of that alphabet are scored from left to right: log-likelihood
+ratios are summed, and the sum begins anew where it falls below zero. The stretch with the highest sum,
+of MARKOV_LEAST characters at least, is a span ``random`` if that sum exceeds BOUND and the stretch has
+a digit and a letter. The ``assign``, ``access`` and ``hex`` spans of the patterns stay whatever the
+models say.
+
+Offsets count code points, ends are exclusive. Spans are summed up in chunks of CHUNK, so long lists
+aren't copied for each match. Null and empty texts have no span; rows are scanned one by one, so
+repeated rows have equal spans and an empty table gives no rows; spans with one start are in the order
+of KINDS. Only the columns ``keep`` and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -16,13 +21,18 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import ROW, located
+
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MARKOV_LEAST = 20
-#: Log of the odds that an ordinary run must be beaten by.
+#: Log of the odds that an ordinary stretch must be beaten by.
 BOUND = 12.0
-#: Texts whose words make the sample of ordinary identifiers, and random strings to set against them.
-SAMPLE_TEXTS = 60
+#: Rows whose words make the sample of ordinary identifiers, words of each at most, and random strings to
+#: set against them.
+SAMPLE_TEXTS, SAMPLE_WORDS = 60, 5000
 SAMPLE_RANDOM = 2000
+#: Matches whose spans are added up in one list.
+CHUNK = 256
 KINDS = ("assign", "access", "hex", "random")
 # Kind, pattern, group that must have so many characters.
 BASE = (
@@ -41,8 +51,9 @@ def samples(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     plain = F.regexp_replace(coded, "[+/=]", "")
     made = F.array(digest, coded, plain, F.upper(F.substring(plain, 1, 24)), F.substring(digest, 1, 24))
     random = spark.range(SAMPLE_RANDOM).select(F.explode(made).alias("value"), F.lit(1).alias("label"))
-    ids = docs.select(key).orderBy(F.xxhash64(F.lit(5), key), key).limit(SAMPLE_TEXTS).distinct()
-    words = docs.join(F.broadcast(ids), key, "left_semi").select(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)).alias("w"))
+    rows = located(docs).select(*ROW, key, text)
+    chosen = rows.select(*ROW, key).orderBy(F.xxhash64(F.lit(5), key, ROW[1]), *ROW).limit(SAMPLE_TEXTS).select(*ROW)
+    words = rows.join(F.broadcast(chosen), ROW, "left_semi").select(F.slice(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)), 1, SAMPLE_WORDS).alias("w"))
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b"), i.alias("i"))))
     pairs = words.where(F.size("w") > 1).select(pair.alias("x")).select("x.*")
     n = F.col("i").cast("string")
@@ -63,41 +74,64 @@ def fit(labelled: DataFrame) -> list[float]:
     return out
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def found(text: Column, pattern: str, group: int, least: int, kind: str, test=None) -> Column:
     """Spans (start, kind number, end) of the matches that pass. Matches lie between the parts that
-    split() leaves, so lengths add up to offsets."""
+    split() leaves, so lengths add up to offsets. test tells the part of a match that passes, as
+    struct(passes, from, to)."""
     parts, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     told = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     rows = F.zip_with(F.slice(parts, F.lit(1), F.size(whole)), F.zip_with(whole, told, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), lambda p, x: F.struct(F.length(p).alias("p"), F.length(x["m"]).alias("m"), x["g"].alias("g")))
     kind_no = F.lit(KINDS.index(kind))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["p"]
         end = start + x["m"]
-        passes = F.length(x["g"]) >= least
-        if test is not None:
-            passes = passes & test(x["g"])
-        span = F.array(F.struct(start.alias("start"), kind_no.alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(passes, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        if test is None:
+            span = F.when(F.length(x["g"]) >= least, F.array(F.struct(start.alias("start"), kind_no.alias("kind"), end.alias("end"))))
+        else:
+            span = let(test(x["g"]), lambda t: F.when(t["passes"], F.array(F.struct((start + t["from"]).alias("start"), kind_no.alias("kind"), (start + t["to"]).alias("end")))))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.coalesce(span, none)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(none)
+    def chunks(all_rows: Column) -> Column:
+        """The spans of each chunk, whose matches begin where those of the chunk before end."""
+        first = F.array(F.struct(F.lit(0).alias("at"), none.alias("out")))
+        begins = F.sequence(F.lit(1), F.size(all_rows), F.lit(CHUNK))
+        return F.aggregate(begins, first, lambda acc, i: F.concat(acc, F.array(F.aggregate(F.slice(all_rows, i, F.lit(CHUNK)), F.struct(F.element_at(acc, -1)["at"].alias("at"), none.alias("out")), step))))
+
+    return F.when(text.rlike(pattern), F.flatten(F.transform(let(rows, chunks), lambda x: x["out"]))).otherwise(none)
 
 
 def is_random(ratios: Column):
-    """Whether a run's log-likelihood ratio exceeds BOUND, and it has a digit and a letter."""
+    """The best stretch of a run, and whether its log-likelihood ratio exceeds BOUND."""
     alphabet = F.lit(ALPHABET)
 
     def test(run: Column) -> Column:
         places = F.transform(F.split(run, ""), lambda c: F.instr(alphabet, c))
-        zero = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum"))
+        zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("before"), F.lit(0).alias("begin"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("from"), F.lit(0).alias("to"))
 
         def step(acc: Column, c: Column) -> Column:
             ratio = F.coalesce(F.get(ratios, (acc["before"] - 1) * len(ALPHABET) + c - 1), F.lit(0.0))
-            return F.struct(c.alias("before"), F.when(acc["before"] > 0, acc["sum"] + ratio).otherwise(acc["sum"]).alias("sum"))
+            total = F.when(acc["before"] > 0, acc["sum"] + ratio).otherwise(0.0)
+
+            def onwards(s: Column) -> Column:
+                begin = F.when(s < 0, acc["i"]).otherwise(acc["begin"])
+                end = acc["i"] + 1
+                better = (s > acc["best"]) & (end - begin >= MARKOV_LEAST)
+                return F.struct(end.alias("i"), c.alias("before"), begin.alias("begin"), F.greatest(s, F.lit(0.0)).alias("sum"), F.when(better, s).otherwise(acc["best"]).alias("best"), F.when(better, begin).otherwise(acc["from"]).alias("from"), F.when(better, end).otherwise(acc["to"]).alias("to"))
+
+            return let(total, onwards)
+
+        def judged(acc: Column) -> Column:
+            part = F.substring(run, acc["from"] + 1, acc["to"] - acc["from"])
+            return F.struct(((acc["best"] > BOUND) & part.rlike("[0-9]") & part.rlike("[A-Za-z]")).alias("passes"), acc["from"].alias("from"), acc["to"].alias("to"))
 
-        return run.rlike("[0-9]") & run.rlike("[A-Za-z]") & (F.aggregate(places, zero, step, lambda acc: acc["sum"]) > BOUND)
+        return F.aggregate(places, zero, step, judged)
 
     return test
 
