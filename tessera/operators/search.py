@@ -49,11 +49,27 @@ def build_index(docs: DataFrame, tokens: Column | None = None) -> Index:
     """BM25 tables of docs(doc_id, text). Frequencies are summed before they are shuffled."""
     rows = docs.select("doc_id", (terms(F.col("text")) if tokens is None else tokens).alias("t"))
     lengths = rows.select("doc_id", F.size("t").cast("long").alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     postings = rows.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return _index_of(postings.select("term", "doc_id", "tf", "dl"), lengths)
+
+
+def _index_of(postings: DataFrame, lengths: DataFrame) -> Index:
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return Index(postings.select("term", "doc_id", "tf", "dl"), df.join(F.broadcast(stats)).select("term", "df", idf.alias("idf")), lengths, stats)
+    return Index(postings, df.join(F.broadcast(stats)).select("term", "df", idf.alias("idf")), lengths, stats)
+
+
+def stored_index(docs: DataFrame, path: str, tokens: Column | None = None) -> Index:
+    """build_index(), written and read back: texts are cut into terms for the postings and the lengths only, and
+    what follows from these is made of the written tables."""
+    made, spark = build_index(docs, tokens), docs.sparkSession
+    made.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    made.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    rest = _index_of(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths")))
+    rest.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    rest.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    return Index.load(spark, path)
 
 
 def aligned(docs: DataFrame, ids: DataFrame, vectors: DataFrame) -> DataFrame:

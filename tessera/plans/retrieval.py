@@ -26,7 +26,7 @@ def _index(spark: SparkSession, sf_dir: str) -> search.Index:
     key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, f"{sf_dir}/documents.parquet"))
     if key not in _stored:
         path = scratch(spark, "index")
-        search.build_index(_docs(spark, sf_dir)).save(path)
+        search.stored_index(_docs(spark, sf_dir), path)
         _stored[key] = path
     return search.Index.load(spark, _stored[key])
 
