@@ -407,6 +407,47 @@ def test_jaccard_in_many_blocks(spark, monkeypatch):
     assert got == brute_links(dict(rows))
 
 
+def test_jaccard_shares_few_rows(spark, monkeypatch):
+    """Copies are one text before sets are made; a group of near copies gives about an edge a set, and families
+    that only share some parts don't meet block by block."""
+    import random
+
+    rng = random.Random(5)
+    lines = " ".join(f"line{i}" for i in range(40))
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{i}" for i in range(100)]
+        for _ in range(12):
+            words = list(base)
+            words[rng.randrange(100)] = f"x{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(words) + " " + lines))
+    rows += [(len(rows) + i, rows[0][1]) for i in range(200)]
+    edges, pairs, made = [], [], []
+    components, block_pairs, sets_of = jaccard.components, jaccard.block_pairs, jaccard.sets_of
+
+    def noted(seen, run, of):
+        def do(*args):
+            out = run(*args)
+            seen.append(of(out, *args))
+            return out
+
+        return do
+
+    monkeypatch.setattr(jaccard, "BLOCK", 12)
+    monkeypatch.setattr(jaccard, "components", noted(edges, components, lambda _, e: e.distinct().count()))
+    monkeypatch.setattr(jaccard, "block_pairs", noted(pairs, block_pairs, lambda out, *_: out.count()))
+    monkeypatch.setattr(jaccard, "sets_of", noted(made, sets_of, lambda out, *_: out.count()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.classified(docs).collect()}
+    assert got == brute_links(dict(rows))
+    assert made[0] <= 160 and edges[0] <= 12 and pairs[0] <= 8 * 144, (made, edges, pairs)
+
+
+def test_jaccard_of_texts_without_words(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, " "), (4, "")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.classified(docs).collect())) == [(i, 0, i, 0) for i in range(1, 5)]
+
+
 @pytest.mark.parametrize("make", [repeated, odd_ids, lambda s: odd_ids(s).withColumn("doc_id", F.lit(None).cast("long"))])
 def test_jaccard_of_odd_identifiers(spark, make):
     """Each row is a document, with its own set, whatever doc_ids repeat or are null."""
