@@ -34,9 +34,11 @@ def clip_frames(frames: DataFrame, videos: DataFrame, window: float, stride: flo
 
 def thinned(frames: Column, fps: float) -> Column:
     """A clip's ordered array of struct(t, id) thinned to a rate; the end points stay: a last frame that is too
-    close takes the place of the last one kept."""
-    gap = 1.0 / fps
+    close takes the place of the last one kept. Without a rate (0) all frames stay."""
     kind = "array<struct<t:double,id:bigint>>"
+    if fps <= 0:
+        return frames.cast(kind)
+    gap = 1.0 / fps
     frames = frames.cast(kind)
     first, last = F.get(frames, F.lit(0)), F.element_at(frames, -1)
     inner = F.slice(frames, F.lit(2), F.greatest(F.lit(0), F.size(frames) - 2))

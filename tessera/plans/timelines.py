@@ -29,7 +29,7 @@ def fps_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clip_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir).withColumnRenamed("obs_id", "id")
-    made = timeline.clips(obs, _videos(obs), WINDOW, STRIDE, 1e6, 2, 3)
+    made = timeline.clips(obs, _videos(obs), WINDOW, STRIDE, 0.0, 2, 3)
     return made.select("video_id", "clip", F.round("end_sec", 3).alias("end_sec"), F.size("ids").alias("n"), "keyframe")
 
 

@@ -40,6 +40,25 @@ def test_thinning_of_videos_is_that_of_clips(spark, times):
         assert sorted(r.id for r in timeline.even_frames(rows, most).collect()) == sorted(ids)
 
 
+def test_clips_without_a_rate_keep_tied_frames(spark):
+    frames = spark.createDataFrame([("v", t, i) for i, t in enumerate([0.0, 1.0, 1.0, 1.0, 2.0])], "video_id string, t double, id long")
+    videos = spark.createDataFrame([("v", 2.0)], "video_id string, duration double")
+    got = timeline.clips(frames, videos, 10.0, 10.0, 0.0, 2, 9).collect()
+    assert [(r.ids, r.keyframe) for r in got] == [([0, 1, 2, 3, 4], 2)]
+
+
+def test_clip_keyframes_of_tied_events(spark, sf_dir, tmp_path):
+    """The query and its SQL, over events that happen twice at the same time."""
+    from tessera.plans.registry import ORACLES, QUERIES
+    from tests.oracle import connection, same_rows
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.union(events.withColumn("event_id", F.col("event_id") + 10**6)).coalesce(1).write.parquet(str(tmp_path / "twice"))
+    (part,) = (tmp_path / "twice").glob("*.parquet")
+    part.rename(tmp_path / "events.parquet")
+    same_rows(QUERIES["clip_keyframes"](spark, str(tmp_path)), connection(tmp_path), ORACLES["clip_keyframes"])
+
+
 def test_change_gate_warms_up(spark):
     rows = [("v", float(i), i, float(v), 50.0, 50.0) for i, v in enumerate([0] * 10 + [9, 9, 200])]
     got = timeline.change_gate(spark.createDataFrame(rows, "video_id string, t double, id long, value double, brightness double, sharpness double"), 20.0, 10.0, 10.0).orderBy("id").collect()
