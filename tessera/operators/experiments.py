@@ -134,10 +134,14 @@ def wildcard_matches(queries: DataFrame, targets: DataFrame) -> DataFrame:
     def low(c: str) -> Column:
         return F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
 
-    fits = (blank("video_id") | (F.trim("q.video_id") == F.col("t.video_id")))
-    for c in ("profile", "variant"):
-        fits = fits & (blank(c) | (low(f"q.{c}") == low(f"t.{c}")))
-    return queries.alias("q").join(targets.alias("t"), fits).select("q.query_id", "t.target_id")
+    # queries that leave the same fields blank meet targets by the others, which are equal
+    fields = ("video_id", "profile", "variant")
+    asked = queries.alias("q").select("query_id", F.concat(*[F.when(blank(c), "0").otherwise("1") for c in fields]).alias("_kind"), F.trim("q.video_id").alias("_video_id"), *[low(c).alias(f"_{c}") for c in fields[1:]])
+    asked = asked.select("query_id", "_kind", *[F.when(F.substring("_kind", k + 1, 1) == "1", F.col(f"_{c}")).otherwise("").alias(f"_{c}") for k, c in enumerate(fields)])
+    kinds = sorted(r[0] for r in asked.select("_kind").distinct().collect())  # eight at most
+    known = targets.select("target_id", F.explode(F.array(*map(F.lit, kinds)).cast("array<string>")).alias("_kind"), F.col("video_id").alias("_video_id"), *[low(c).alias(f"_{c}") for c in fields[1:]])
+    known = known.select("target_id", "_kind", *[F.when(F.substring("_kind", k + 1, 1) == "1", F.col(f"_{c}")).otherwise("").alias(f"_{c}") for k, c in enumerate(fields)])
+    return asked.join(known, ["_kind", *[f"_{c}" for c in fields]]).select("query_id", "target_id")
 
 
 def batch_results(rows: DataFrame) -> DataFrame:

@@ -59,6 +59,27 @@ def test_clip_keyframes_of_tied_events(spark, sf_dir, tmp_path):
     same_rows(QUERIES["clip_keyframes"](spark, str(tmp_path)), connection(tmp_path), ORACLES["clip_keyframes"])
 
 
+def test_wildcards_meet_by_equal_fields(spark):
+    from itertools import product
+
+    from tessera.operators import experiments
+
+    fields = list(product([None, " ", "v1", " v2 "], ["", "P", "q "], [None, "x", "Y"]))
+    asked = [(i, *f) for i, f in enumerate(fields)]
+    known = [(i, *f) for i, f in enumerate(product([None, "v1", "v2", "V1"], [None, "p", "Q"], ["X ", "y", ""]))]
+    kind = "_id long, video_id string, profile string, variant string"
+    queries, targets = (spark.createDataFrame(rows, kind.replace("_id", name, 1)) for rows, name in ((asked, "query_id"), (known, "target_id")))
+    got = experiments.wildcard_matches(queries, targets)
+
+    def low(x):
+        return (x or "").strip().lower()
+
+    want = [(q[0], t[0]) for q in asked for t in known if (not low(q[1]) or q[1].strip() == t[1]) and all(not low(a) or low(a) == low(b) for a, b in zip(q[2:], t[2:], strict=True))]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_change_gate_warms_up(spark):
     rows = [("v", float(i), i, float(v), 50.0, 50.0) for i, v in enumerate([0] * 10 + [9, 9, 200])]
     got = timeline.change_gate(spark.createDataFrame(rows, "video_id string, t double, id long, value double, brightness double, sharpness double"), 20.0, 10.0, 10.0).orderBy("id").collect()
