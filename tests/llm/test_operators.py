@@ -441,6 +441,30 @@ def test_jaccard_shares_few_rows(spark, monkeypatch):
     assert made[0] <= 160 and edges[0] <= 12
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_jaccard_hands_texts_to_one_python_process(spark, monkeypatch):
+    """What finds texts in the bitmap and what goes on with them are one function, not two processes a task."""
+    maps, shared_counts, sets_of = [], jaccard.shared_counts, jaccard.sets_of
+
+    def counting(rows, *args):
+        maps.append(plan_of(rows).count("MapInArrow"))
+        return shared_counts(rows, *args)
+
+    def making(*args):
+        out = sets_of(*args)
+        maps.append(plan_of(out).count("MapInArrow") - 1)
+        return out
+
+    monkeypatch.setattr(jaccard, "shared_counts", counting)
+    monkeypatch.setattr(jaccard, "sets_of", making)
+    docs = documents(spark)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.classified(docs).collect()}
+    assert got == brute_links(texts_of(docs)) and maps == [0, 0]
+
+
 def test_jaccard_of_texts_without_words(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, " "), (4, "")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.classified(docs).collect())) == [(i, 0, i, 0) for i in range(1, 5)]
