@@ -465,6 +465,58 @@ def test_jaccard_hands_texts_to_one_python_process(spark, monkeypatch):
     assert got == brute_links(texts_of(docs)) and maps == [0, 0]
 
 
+def test_jaccard_deals_out_few_hashes(spark, monkeypatch):
+    """Sets aren't dealt out to drop equal ones, nor for keys of blocks if their group is one block; keys are
+    shuffled with a number, not a digest."""
+    plans, schemas, kept = {}, [], jaccard.stored
+
+    def storing(df, name):
+        plans[name] = plan_of(df)
+        return kept(df, name)
+
+    def components(edges):
+        schemas.append(dict(edges.dtypes))
+        return tied(edges)
+
+    tied = jaccard.components
+    monkeypatch.setattr(jaccard, "stored", storing)
+    monkeypatch.setattr(jaccard, "components", components)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words + [f"x{i}"])) for i in range(6)]
+    rows += [(10 + i, "  ".join(words).upper() + " " * i) for i in range(4)]  # equal sets of unlike texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.classified(docs).collect()}
+    assert got == brute_links(dict(rows))
+    assert plans["jaccard-met"].count("MapInArrow") == 1
+    assert "hashpartitioning" not in plans["jaccard-classes"] and schemas[0] == {"a": "bigint", "b": "bigint"}
+
+
+def test_jaccard_wide_sets(spark):
+    """Sets of groups of several blocks come with their block, whatever else the bitmap lets through."""
+    sets = spark.createDataFrame([(bytes([i]), bytes([i, i])) for i in range(200)], "id binary, hashes binary")
+    placed = spark.createDataFrame([(bytes([i]), i % 7, i >= 20) for i in range(150)], "id binary, block long, alone boolean")
+    got = jaccard.wide_sets(sets, placed)
+    assert sorted((r.id[0], r.hashes[1], r.block) for r in got.collect()) == [(i, i, i % 7) for i in range(20)]
+    some, passing = jaccard.marked(sets, placed.where("not alone").select("id"))
+    assert some.mapInArrow(passing, "id binary, hashes binary").count() < 30
+
+
+def test_jaccard_groups_of_digests_that_begin_alike(spark):
+    """Sets are tied by the beginnings of their digests; those with the same are one group, and none is lost."""
+    import numpy as np
+
+    def of(*sets):
+        rows = [(name, len(x), np.sort(np.array(x, np.uint64)).tobytes()) for name, x in sets]
+        found = jaccard.linked_groups(spark.createDataFrame(rows, "digest binary, n long, hashes binary"))
+        return {bytes(r.id): r.component for r in found.collect()}
+
+    rng = np.random.default_rng(3)
+    a, b, c = (rng.integers(0, 2**63, 40).astype(np.uint64).tolist() for _ in range(3))
+    near = [*a[:-1], 5]
+    got = of((b"\xff1234567a", a), (b"\x011234567b", near), (b"\x011234567c", b), (b"\x021234567d", c))
+    assert len(got) == 4 and len({got[k] for k in got if k[:1] != b"\x02"}) == 1 and len(set(got.values())) == 2
+
+
 def test_jaccard_of_texts_without_words(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, " "), (4, "")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.classified(docs).collect())) == [(i, 0, i, 0) for i in range(1, 5)]
